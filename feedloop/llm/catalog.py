@@ -8,6 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloop.llm.bpe import encode
 from feedloop.llm.cooccur import associations
 from feedloop.llm.simjoin import similar_pairs
 from feedloop.llm.topn import top_n
@@ -72,10 +73,22 @@ r AS (SELECT uidx, iidx, row_number() OVER (PARTITION BY uidx ORDER BY v DESC, i
 SELECT uidx, iidx FROM r WHERE k <= 5
 """
 
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids with the byte offset at which each token begins."""
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text", offsets=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_odds": p3_odds,
     "p4_found": p4_found,
+    "p6_ids": p6_ids,
+    "p6_offsets": p6_offsets,
 }
 SQL: dict[str, str] = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_odds": P3_ODDS_SQL, "p4_found": P4_SQL}
