@@ -49,19 +49,27 @@ def _step(state: int, symbol: int) -> tuple[int, bool]:
     return kind, state != kind
 
 
+#: Letters and numbers that Unicode 16 added to the tables of Python 3.13; none that an older or newer
+#: Python has already would change by them.
+UNICODE_16_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+UNICODE_16_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+    (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+)
+
+
 def _categories() -> np.ndarray:
-    """Letters and numbers among all codepoints; by the regex library's tables, which are newer than Python's own."""
-    classes = np.zeros(0x110000, np.uint8)
-    try:
-        import regex
-    except ImportError:
-        kinds = {"L": LETTER, "N": DIGIT}
-        classes[:] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)]
-        return classes
-    every = "".join(map(chr, range(0x110000)))
-    for name, kind in (("L", LETTER), ("N", DIGIT)):
-        for run in regex.finditer(rf"\p{{{name}}}+", every):
-            classes[run.start() : run.end()] = kind
+    """Letters and numbers among all codepoints."""
+    kinds = {"L": LETTER, "N": DIGIT}
+    classes = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
+    for ranges, kind in ((UNICODE_16_LETTERS, LETTER), (UNICODE_16_NUMBERS, DIGIT)):
+        for low, high in ranges:
+            classes[low : high + 1] = kind
     return classes
 
 
