@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloop.llm.bpe import encode
 from feedloop.llm.cooccur import associations
+from feedloop.llm.mix import mixture
 from feedloop.llm.simjoin import similar_pairs
 from feedloop.llm.topn import top_n
 from feedloop.session import table
@@ -83,6 +84,17 @@ def p6_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text", offsets=True)
 
 
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix with their number of copies."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every listed source."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -90,5 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p6_offsets": p6_offsets,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
 }
 SQL: dict[str, str] = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_odds": P3_ODDS_SQL, "p4_found": P4_SQL}
