@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feedloop.llm.bpe import encode
 from feedloop.llm.cooccur import associations
 from feedloop.llm.mix import mixture
+from feedloop.llm.residue import residue, without_residue
 from feedloop.llm.simjoin import similar_pairs
 from feedloop.llm.topn import top_n
 from feedloop.session import table
@@ -95,6 +96,22 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
 
 
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = residue(table(spark, sf_dir, "documents"), "doc_id", "text", "title_code")
+    return found.where("residue IS NOT NULL").select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents found, with the kind of residue."""
+    return residue(table(spark, sf_dir, "documents"), "doc_id", "text", "title_code").where("residue IS NOT NULL")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without template residue and error pages."""
+    return without_residue(table(spark, sf_dir, "documents"), "text", "title_code")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -104,5 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_offsets": p6_offsets,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_kinds": p8_kinds,
+    "p8_clean": p8_clean,
 }
 SQL: dict[str, str] = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_odds": P3_ODDS_SQL, "p4_found": P4_SQL}
