@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloop.session import cut
+from feedloop.operators.prefix import sums_before
 
 #: Chunks that all rows are cut into; bounds the borders sent to the tasks (a few dozen bytes each).
 CHUNKS = 240
@@ -52,28 +52,10 @@ class Borders:
         return out
 
 
-def _sums(df: DataFrame, order: list[str], n: str) -> DataFrame:
-    """df with ``_before``, the sum of n over all rows that come earlier in the order; no single-partition window.
-
-    The rows are range-partitioned by the order; only one total per partition goes through the driver.
-    """
-    ranged = cut(cut(df).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    totals = sorted((r[0], r[1]) for r in ranged.groupBy("_range").agg(F.sum(n)).collect())
-    base, done = [], 0
-    for part, total in totals:
-        base.append((part, done))
-        done += total
-    offsets = F.broadcast(df.sparkSession.createDataFrame(base or [(0, 0)], "_range int, _base bigint"))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(offsets, "_range").withColumn(
-        "_before", F.col("_base") + F.coalesce(F.sum(n).over(inside), F.lit(0))
-    )
-
-
 def borders(df: DataFrame, key: str, chunks: int = CHUNKS) -> tuple[Borders, int]:
     """The chunk borders of df in the order (key, partition, place), and the rows in a chunk."""
     counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("_key")).agg(F.count("*").alias("_n"))
-    placed = _sums(counts, ["_key"], "_n")
+    placed = sums_before(counts, ["_key"], "_n")
     total = placed.agg(F.max(F.col("_before") + F.col("_n"))).first()[0] or 0
     size = max(1, -(-total // chunks))
     # A key is cut where a multiple of the size falls among its rows; a border at its first row needs no finer counts.
