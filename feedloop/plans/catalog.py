@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloop.plans import library, records
+from feedloop.plans import library, loops, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**library.QUERIES, **records.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**library.QUERIES, **loops.QUERIES, **records.QUERIES}
 SQL: dict[str, str] = {**library.SQL, **records.SQL}
