@@ -91,6 +91,8 @@ def main(argv: list[str], spark: SparkSession | None = None) -> DataFrame | None
         out = programs.ranking(curve, "ctr") if args.command == "valid" else programs.summary(curve, ["ctr", "counter"])
     else:
         ratings, n_users, n_items = _coded(spark, args)
+        if not args.use_ratings:  # values are 0 or 1 from here on
+            args.threshold = 0.5
         base = (ratings, specs, seeds, args.end, n_users, n_items, args.threshold)
         train = text.read_run(spark, args.warmup).withColumn("seq", F.col("iter").cast("bigint") * 100_000 + F.col("rank")) if args.warmup else None
         if args.command == "rec":
