@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ID = r'(?:([0-9]+)|"([0-9]+)")'
+_ID = r'(?:[0-9]+|"[0-9]+")'
 _NUMBER = r"[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-#: The whole of a conforming line; both spellings of each field have a group of their own.
-EDGE_LINE = rf'\A{_ID}\t{_ID}\t(?:({_NUMBER})?|"({_NUMBER})?")\t{_ID}\r?\z'
+#: The whole of a conforming line.
+EDGE_LINE = rf'\A{_ID}\t{_ID}\t(?:(?:{_NUMBER})?|"(?:{_NUMBER})?")\t{_ID}\r?\z'
 #: A line that splits into four well quoted fields, whatever their values.
 _FIELD = r'(?:"(?:[^"]|"")*"|[^"\t]*)'
 FOUR_FIELDS = rf"(?s)\A{_FIELD}\t{_FIELD}\t{_FIELD}\t{_FIELD}\z"
@@ -21,10 +21,6 @@ WELL_QUOTED = rf"(?s)\A{_FIELD}(?:\t{_FIELD})*\z"
 _KEY = ("_offset", "_print")
 
 
-def _either(line: Column, group: int) -> Column:
-    return F.concat(F.regexp_extract(line, EDGE_LINE, group), F.regexp_extract(line, EDGE_LINE, group + 1))
-
-
 def strict_edges(lines: DataFrame, offset: str = "line_id", line: str = "line") -> DataFrame:
     """The conforming lines as typed edges ``(offset, node_a, node_b, weight, types)``; nothing else gets through.
 
@@ -32,13 +28,17 @@ def strict_edges(lines: DataFrame, offset: str = "line_id", line: str = "line")
     Self-loops, repeated lines and repeated or null offsets are kept as they are; null lines never conform.
     """
     text = F.col(line)
-    typed = lines.where(text.rlike(EDGE_LINE)).select(
-        F.col(offset).alias("_offset"),
-        F.xxhash64(text).alias("_print"),
-        _either(text, 1).try_cast("bigint").alias("node_a"),
-        _either(text, 3).try_cast("bigint").alias("node_b"),
-        F.nullif(_either(text, 5), F.lit("")).alias("_weight"),
-        _either(text, 7).try_cast("int").alias("types"),
+    # In a conforming line, quotes only enclose values and a carriage return only ends it: without them, tabs separate.
+    split = lines.where(text.rlike(EDGE_LINE)).select(
+        F.col(offset).alias("_offset"), F.xxhash64(text).alias("_print"), F.split(F.translate(text, '"\r', ""), "\t", -1).alias("_f")
+    )
+    typed = split.select(
+        "_offset",
+        "_print",
+        F.col("_f")[0].try_cast("bigint").alias("node_a"),
+        F.col("_f")[1].try_cast("bigint").alias("node_b"),
+        F.nullif(F.col("_f")[2], F.lit("")).alias("_weight"),
+        F.col("_f")[3].try_cast("int").alias("types"),
     )
     weight = F.col("_weight").try_cast("double")
     fits = F.col("_weight").isNull() | (weight < F.lit(float("inf")))
