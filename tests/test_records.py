@@ -38,6 +38,13 @@ def test_offsets_null_and_repeated(spark):
     assert sorted(r["line"] for r in rejects(df).collect()) == ["x", "y"]
 
 
+def test_very_long_lines(spark):
+    long = ['"' + "a" * 300_000 + '"\t2\t3\t4', '"' + 'a""' * 100_000 + '"\t2\t3\t4', "x" * 1_000_000, "\t" * 200_000, '1\t2\t3\t"' + "4" * 100_000, "1" * 100_000 + "\t2\t3\t4"]
+    df = spark.createDataFrame(list(enumerate(long)), "line_id bigint, line string")
+    reasons = [r["reason"] for r in rejects(df).orderBy("line_id").collect()]
+    assert reasons == ["nodeA is not digits"] * 2 + ["column count 1, not 4", "column count 200001, not 4", "broken quoting", "nodeA out of range"]
+
+
 def test_no_lines(spark):
     df = spark.createDataFrame([], "line_id bigint, line string")
     assert edges(df).count() == rejects(df).count() == 0
