@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -177,3 +178,11 @@ def test_learnt_from_the_corpus(spark, monkeypatch):
 
 def test_a_few_filler_cues_are_no_case():
     assert not R.mostly_filler(["asdf", "qwer", *TALK]) and not R.mostly_filler([]) and not R.mostly_filler(["asdf", TALK[0]])
+
+
+@pytest.mark.parametrize("piece", [" ", "\n", "\t \n", "x", "1", "a1", ".", "{", "{{", "<", "[a", "%a", "$a", "__", "@@", "Ã©", "00:00:01,000 --> ", "qwer ", "404 ", "<b>", "&#123;", "\u0600"])
+def test_very_long_texts(piece):
+    began = time.perf_counter()
+    R.verdict(piece * (300_000 // len(piece)), frozenset(["title"]), frozenset())
+    R.names_shown(R.plain(piece * (300_000 // len(piece))))
+    assert time.perf_counter() - began < 10
