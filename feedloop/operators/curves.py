@@ -96,3 +96,9 @@ def intra_list_distance(runs: DataFrame, vectors: DataFrame) -> DataFrame:
     length = sums.groupBy("run", "u").agg(F.sum(F.col("_x") * F.col("_x")).alias("_s")).join(size, ["run", "u"])
     mean = 1.0 - (F.col("_s") - F.col("_n")) / (F.col("_n") * (F.col("_n") - 1))
     return length.groupBy("run").agg(F.avg(mean).alias("ild"))
+
+
+def running_mean(per_ranking: DataFrame, value: str, interval: int) -> DataFrame:
+    """``(run, point, mean)``: the mean, up to each point, of any metric of single rankings, one row for each iter."""
+    sums = cumulative(per_ranking, {"_s": F.col(value), "_n": F.when(F.col(value).isNotNull(), 1)}, interval)
+    return sums.select("run", "point", (F.col("_s") / F.nullif(F.col("_n"), F.lit(0))).alias("mean"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloop.session import cut
@@ -137,3 +137,12 @@ def co_rating_graph(positives: DataFrame, queries: DataFrame, least: int = 2) ->
     both = common.join(size.select(F.col("u").alias("a"), F.col("_n").alias("_na")), "a").join(size.select(F.col("u").alias("b"), F.col("_n").alias("_nb")), "b")
     apart = F.col("_na") + F.col("_nb") - 2 * F.col("common")
     return both.select("a", "b", "common", (1.0 / (apart + 1)).alias("weight"), F.sqrt(apart.cast("double")).alias("distance"))
+
+
+def adjacency(edges: DataFrame, block: int = 1000) -> DataFrame:
+    """``(src, part, neighbours, weights)``: rows of the adjacency matrix, sparse and sorted by neighbour; a node with
+    many neighbours has several parts of at most `block`, so a hub's row is never one value."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    parts = edges.withColumn("part", F.floor((place - 1) / block).cast("int"))
+    lists = parts.groupBy("src", "part").agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("l"))
+    return lists.select("src", "part", F.transform("l", lambda x: x["dst"]).alias("neighbours"), F.transform("l", lambda x: x["weight"]).alias("weights"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloop.operators.prefix import numbered
+
 
 def with_candidates(log: DataFrame) -> DataFrame:
     """``(seq, u, i, reward, cands)`` of rows with a featured item: candidates are a set that holds the featured item."""
@@ -41,3 +43,10 @@ def replay_statistics(log: DataFrame, key: str) -> DataFrame:
 
 def active_users(log: DataFrame, least: int) -> DataFrame:
     return log.where("u IS NOT NULL").groupBy("u").agg(F.count("*").alias("rows")).where(F.col("rows") >= least)
+
+
+def matched_prefix(log: DataFrame, train: DataFrame) -> DataFrame:
+    """``(place, u, i, reward)``: training pairs ``(seq, u, i)`` laid beside the log, row by row; what agrees is kept."""
+    pairs = numbered(train.select("seq", "u", "i").withColumn("_p", F.lit(0)), ["_p"], "seq", "place").select("place", "u", "i")
+    rows = numbered(log.select("seq", "u", "i", "reward").withColumn("_p", F.lit(0)), ["_p"], "seq", "place").select("place", "u", "i", "reward")
+    return rows.join(pairs, ["place", "u", "i"])

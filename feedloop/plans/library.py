@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feedloop.functions import sampling
 from feedloop.functions import scores as S
 from feedloop.operators import curves as C
 from feedloop.operators import graph as G
@@ -275,6 +276,13 @@ def topk_beta_mean(spark, d):
     return _top(_items(spark, d).withColumn("score", S.beta_mean(F.col("s"), F.col("n"), 1.0, 1.0)))
 
 
+@query()
+def topk_thompson(spark, d):
+    """Items by a sample of their success rate's posterior."""
+    items = _items(spark, d)
+    return _top(items.withColumn("score", sampling.beta(F.col("i"), F.col("s") + 1, F.col("n") - F.col("s") + 1, seed=7)))
+
+
 @query(_ITEMS + "SELECT i, round(mean, 6) AS score, n FROM s")
 def eps_stationary(spark, d):
     return _items(spark, d).select("i", F.round("mean", 6).alias("score"), "n")
@@ -493,6 +501,18 @@ def ild_curve(spark, d):
     return _rounded(C.intra_list_distance(_runs(spark, d).where("u IS NOT NULL"), items.join(dims, "vec_id").select("i", "dim", "x")), "ild")
 
 
+@query(f"""WITH {_X}, {_RUNS}, k AS (SELECT seq, unnest(cands) AS c FROM l),
+p AS (SELECT k.seq, avg(CASE WHEN m.r >= {THRESHOLD} THEN 1.0 ELSE 0.0 END) AS p FROM k JOIN l ON l.seq = k.seq LEFT JOIN m ON m.u = l.u AND m.i = k.c GROUP BY 1)
+SELECT pt.run, pt.point, round(avg(p.p), 9) AS precision FROM pt JOIN n ON n.run = pt.run AND n.iter <= pt.point JOIN p ON p.seq = n.seq GROUP BY 1, 2""")
+def precision_curve(spark, d):
+    """Running mean of the share of relevant items in each row's candidates."""
+    log, runs = _log(spark, d), _runs(spark, d).select("run", "seq", "iter")
+    wide = log.select("seq", "u", F.explode("cands").alias("i"))
+    hit = P.reveal(wide, _m(spark, d)).groupBy("seq").agg(F.avg((F.coalesce(F.col("r"), F.lit(0.0)) >= THRESHOLD).cast("double")).alias("p"))
+    mean = C.running_mean(runs.join(hit, "seq"), "p", INTERVAL)
+    return mean.select("run", "point", F.round("mean", 9).alias("precision"))
+
+
 @query(f"WITH {_RUNS} SELECT n.run, n.iter, n.u, n.i FROM n JOIN pt ON n.run = pt.run AND n.iter = pt.point")
 def interval_samples(spark, d):
     runs = _runs(spark, d)
@@ -610,6 +630,12 @@ def graph_without_hubs(spark, d):
     return G.without(e, hubs)
 
 
+@query(f"""{_G}, r AS (SELECT *, CAST((row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 1000 AS INTEGER) AS part FROM e)
+SELECT src, part, list(dst ORDER BY dst) AS neighbours, list(weight ORDER BY dst) AS weights FROM r GROUP BY src, part""")
+def graph_adjacency(spark, d):
+    return G.adjacency(_edges(spark, d))
+
+
 @query()
 def connected_components(spark, d):
     e = _edges(spark, d)

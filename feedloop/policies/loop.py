@@ -197,10 +197,17 @@ def run(
             yield done, rank, user, item, facts[0][2]
 
 
-def replay(policy: Policy, rows: Iterator[tuple[int, int, int, float, np.ndarray]]) -> Iterator[tuple[int, int, int, float]]:
+def replay(
+    policy: Policy, rows: Iterator[tuple[int, int, int, float, np.ndarray]], extra: int = 0, rng: np.random.Generator | None = None
+) -> Iterator[tuple[int, int, int, float]]:
     """``(seq, user, item, reward)`` of the log rows ``(seq, user, item, reward, candidates)`` whose featured item the
-    policy picks; it learns from these only."""
+    policy picks; it learns from these only. With extra, the candidates are the featured item and so many others drawn
+    at random, instead of the logged ones."""
+    rng = rng or np.random.default_rng(0)
     for seq, user, item, reward, candidates in rows:
+        if extra:
+            others = rng.choice(policy.n_items - 1, min(extra, policy.n_items - 1), replace=False)
+            candidates = np.append(others + (others >= item), item)
         if policy.pick(user, candidates) == item:
             policy.update(user, item, reward)
             yield seq, user, item, reward

@@ -160,6 +160,12 @@ def test_replay_matches_a_plain_fold(spark):
     assert got == expected and expected
 
 
+def test_replay_with_a_random_pool():
+    rows = [(*r[:4], np.array(r[4])) for r in _log()]
+    out = [list(replay(SPECS[0].build(5, 6, 0), iter(rows), extra=2, rng=np.random.default_rng(1))) for _ in range(2)]
+    assert out[0] == out[1] and 0 < len(out[0]) < len(rows)
+
+
 def test_streaming_replay_equals_batch(spark, tmp_path):
     rows = _log()
     for k in range(4):

@@ -141,3 +141,20 @@ def test_random_graph(spark, directed):
     assert len(out) == len(set(out)) == math.ceil(0.3 * 20 * 19 / (1 if directed else 2))
     assert all(0 <= a < 20 and 0 <= b < 20 and a != b for a, b in out) and (directed or all(a < b for a, b in out))
     assert {tuple(r) for r in G.random_edges(6, 1.0, 7, False, spark).collect()} == {(a, b) for a in range(6) for b in range(a + 1, 6)}
+
+
+def test_matched_prefix(spark):
+    from feedloop.operators.logs import matched_prefix
+
+    log = spark.createDataFrame([(5, 1, 1, 1.0), (7, 1, 2, 0.0), (9, 2, 2, 1.0)], "seq bigint, u int, i int, reward double")
+    train = spark.createDataFrame([(1, 1, 1), (2, 9, 2), (3, 2, 2)], "seq bigint, u int, i int")
+    assert sorted(r["place"] for r in matched_prefix(log, train).collect()) == [1, 3]
+
+
+def test_samples_don_t_depend_on_partitions(spark):
+    from feedloop.functions import sampling
+
+    df = spark.range(50)
+    cols = [sampling.beta(F.col("id"), F.lit(2), F.lit(5), 1).alias("b"), sampling.gamma(F.col("id"), F.lit(0), F.lit(1), 1).alias("g"), sampling.uniform(F.col("id"), 1).alias("u")]
+    one, many = (sorted(map(tuple, df.repartition(n).select("id", *cols).collect())) for n in (1, 5))
+    assert one == many and all(0 < b < 1 and g == 0 and 0 <= u < 1 for _, b, g, u in one) and len({b for _, b, _, _ in one}) == 50
