@@ -636,7 +636,11 @@ def graph_adjacency(spark, d):
     return G.adjacency(_edges(spark, d))
 
 
-@query()
+@query(_G.replace("WITH", "WITH RECURSIVE", 1) + """,
+b AS (SELECT src AS v, dst AS w FROM e UNION SELECT dst, src FROM e),
+cc(v, component) USING KEY (v) AS (SELECT v, v FROM v UNION
+  (SELECT b.w, min(x.component) FROM cc x JOIN b ON b.v = x.v JOIN recurring.cc y ON y.v = b.w WHERE x.component < y.component GROUP BY b.w))
+SELECT v, component FROM cc""")
 def connected_components(spark, d):
     e = _edges(spark, d)
     return G.components(e, _nodes(spark, d, e))

@@ -40,6 +40,22 @@ g AS (SELECT line_id, try_cast(a AS BIGINT) AS node_a, try_cast(b AS BIGINT) AS
 """
 
 
+_FIELD = '(?:"(?:[^"]|"")*"|[^"\\t]*)'
+_P2_REASONS = _P2 + f"""
+, t AS (SELECT line_id, line, CASE WHEN right(line, 1) = chr(13) THEN left(line, length(line) - 1) ELSE line END AS body FROM edge_lines),
+s AS (SELECT *, regexp_matches(body, '(?s)\\A{_FIELD}(?:\\t{_FIELD})*\\z') AS quoted, regexp_extract_all(chr(9) || body, '(?s)\\t({_FIELD})', 1) AS f FROM t),
+k AS (SELECT *, list_transform(f, lambda v: CASE WHEN length(v) >= 2 AND left(v, 1) = '"' AND right(v, 1) = '"'
+  THEN replace(v[2:length(v) - 1], '""', '"') ELSE v END) AS v FROM s)
+SELECT k.line_id, CASE WHEN line IS NULL THEN 'line is null' WHEN body = '' THEN 'line is empty' WHEN NOT quoted THEN 'broken quoting'
+  WHEN len(f) <> 4 THEN 'column count ' || len(f) || ', not 4'
+  WHEN NOT regexp_full_match(v[1], '[0-9]+') THEN 'nodeA is not digits' WHEN try_cast(v[1] AS BIGINT) IS NULL THEN 'nodeA out of range'
+  WHEN NOT regexp_full_match(v[2], '[0-9]+') THEN 'nodeB is not digits' WHEN try_cast(v[2] AS BIGINT) IS NULL THEN 'nodeB out of range'
+  WHEN v[3] <> '' AND NOT regexp_full_match(v[3], '{_NUMBER}') THEN 'weight is not a number'
+  WHEN v[3] <> '' AND NOT coalesce(isfinite(try_cast(v[3] AS DOUBLE)), FALSE) THEN 'weight is not finite'
+  WHEN NOT regexp_full_match(v[4], '[0-9]+') THEN 'types is not digits' ELSE 'types out of range' END AS reason
+FROM k JOIN g ON g.line_id = k.line_id WHERE NOT good"""
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy_keys(table(spark, sf_dir, "ratings"), ["iidx", "uidx"], "value", 0.02)
 
@@ -73,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "p2_found": _P2 + "SELECT line_id FROM g WHERE NOT good",
     "p2_edges": _P2 + "SELECT line_id, node_a, node_b, weight, types FROM g WHERE good",
+    "p2_reasons": _P2_REASONS,
     "p5_found": f"SELECT field, code FROM ({_P5}) WHERE n_rows > 0.02 * (SELECT count(*) FROM ratings)",
     "p5_means": _P5,
 }
