@@ -98,6 +98,28 @@ def intra_list_distance(runs: DataFrame, vectors: DataFrame) -> DataFrame:
     return length.groupBy("run").agg(F.avg(mean).alias("ild"))
 
 
+def intra_list_distances(runs: DataFrame, vectors: DataFrame, interval: int) -> DataFrame:
+    """``(run, point, ild)``: the mean distance within users' lists up to each point; null while no user has two items.
+
+    A user's mean only changes in segments in which the user gets a new item. So the change is computed there, and what
+    runs over a run's segments is the sum of all users' changes.
+    """
+    seg = _segments(runs, interval).where("u IS NOT NULL")
+    new = seg.join(vectors.select("i").distinct(), "i").groupBy("run", "u", "i").agg(F.min("seg").alias("seg"))
+    own = Window.partitionBy("run", "u").orderBy("seg")
+    size = new.groupBy("run", "u", "seg").agg(F.count("*").alias("_n"))
+    size = size.withColumn("_n", F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    per_dim = Window.partitionBy("run", "u", "dim").orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = new.join(vectors, "i").groupBy("run", "u", "seg", "dim").agg(F.sum("x").alias("_x")).withColumn("_x", F.sum("_x").over(per_dim))
+    length = sums.groupBy("run", "u", "seg").agg(F.sum(F.col("_x") * F.col("_x")).alias("_s")).join(size, ["run", "u", "seg"]).where("_n > 1")
+    mean = length.withColumn("_d", 1.0 - (F.col("_s") - F.col("_n")) / (F.col("_n") * (F.col("_n") - 1)))
+    change = mean.withColumn("_old", F.lag("_d").over(own))
+    per = change.groupBy("run", "seg").agg(F.sum(F.col("_d") - F.coalesce("_old", F.lit(0.0))).alias("_d"), F.count_if(F.col("_old").isNull()).alias("_users"))
+    upto = Window.partitionBy("run").orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = points(runs, interval).join(per, ["run", "seg"], "left")
+    return every.select("run", "point", (F.sum("_d").over(upto) / F.nullif(F.sum("_users").over(upto), F.lit(0))).alias("ild"))
+
+
 def running_mean(per_ranking: DataFrame, value: str, interval: int) -> DataFrame:
     """``(run, point, mean)``: the mean, up to each point, of any metric of single rankings, one row for each iter."""
     sums = cumulative(per_ranking, {"_s": F.col(value), "_n": F.when(F.col(value).isNotNull(), 1)}, interval)

@@ -483,6 +483,17 @@ def gini_at_k(spark, d):
     return g.select("run", "point", F.round(1 - F.col("gini"), 6).alias("evenness"))
 
 
+def _vectors(spark, d):
+    """``(i, dim, x)``: unit vectors of the items."""
+    vectors = table(spark, d, "embeddings")
+    n = vectors.count()
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    length = F.sqrt(S.dot(e, e))
+    dims = vectors.select("vec_id", F.posexplode(F.transform(e, lambda x: x / length)).alias("dim", "x"))
+    items = table(spark, d, "item_index").select(F.col("iidx").alias("i"), F.expr(f"CAST(iidx % {n} AS BIGINT)").alias("vec_id"))
+    return items.join(dims, "vec_id").select("i", "dim", "x")
+
+
 @query(f"""WITH {_RUNS}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) AS len FROM embeddings),
 nv AS (SELECT count(*) AS nv FROM embeddings), w AS (SELECT DISTINCT run, u, i FROM n),
 t AS (SELECT run, u, v.e, v.len FROM w CROSS JOIN nv JOIN v ON v.vec_id = w.i % nv),
@@ -492,13 +503,22 @@ SELECT g.run, round(avg(1 - (s - n) / (n * (n - 1))::DOUBLE), 6) AS ild FROM g J
 def ild_curve(spark, d):
     """Mean distance within users' lists at the end of each run; an item's features are the vector at its code modulo
     the number of vectors."""
-    vectors = table(spark, d, "embeddings")
-    n = vectors.count()
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    length = F.sqrt(S.dot(e, e))
-    dims = vectors.select("vec_id", F.posexplode(F.transform(e, lambda x: x / length)).alias("dim", "x"))
-    items = table(spark, d, "item_index").select(F.col("iidx").alias("i"), F.expr(f"CAST(iidx % {n} AS BIGINT)").alias("vec_id"))
-    return _rounded(C.intra_list_distance(_runs(spark, d).where("u IS NOT NULL"), items.join(dims, "vec_id").select("i", "dim", "x")), "ild")
+    return _rounded(C.intra_list_distance(_runs(spark, d).where("u IS NOT NULL"), _vectors(spark, d)), "ild")
+
+
+@query(f"""WITH {_RUNS}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) AS len FROM embeddings),
+nv AS (SELECT count(*) AS nv FROM embeddings), w AS (SELECT DISTINCT pt.run, pt.point, u, i FROM pt JOIN n ON n.run = pt.run AND n.iter <= pt.point WHERE u IS NOT NULL),
+t AS (SELECT run, point, u, v.e, v.len FROM w CROSS JOIN nv JOIN v ON v.vec_id = w.i % nv),
+s AS (SELECT run, point, u, unnest(e) / len AS y, unnest(range(1, len(e) + 1)) AS dim FROM t), k AS (SELECT run, point, u, count(*) AS n FROM t GROUP BY 1, 2, 3 HAVING count(*) > 1),
+z AS (SELECT run, point, u, dim, sum(y) AS y FROM s GROUP BY 1, 2, 3, 4), g AS (SELECT run, point, u, sum(y * y) AS s FROM z GROUP BY 1, 2, 3),
+q AS (SELECT g.run, g.point, avg(1 - (s - n) / (n * (n - 1))::DOUBLE) AS ild FROM g JOIN k ON g.run = k.run AND g.point = k.point AND g.u = k.u GROUP BY 1, 2)
+SELECT pt.run, pt.point, round(q.ild, 6) AS ild FROM pt LEFT JOIN q ON q.run = pt.run AND q.point = pt.point""")
+def ild_points(spark, d):
+    """The same at every point of the runs."""
+    runs = _runs(spark, d)
+    at = C.points(runs, INTERVAL).select("run", "point")
+    found = C.intra_list_distances(runs, _vectors(spark, d), INTERVAL)
+    return at.join(_rounded(found, "ild"), ["run", "point"], "left")
 
 
 @query(f"""WITH {_X}, {_RUNS}, k AS (SELECT seq, unnest(cands) AS c FROM l),
