@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +51,61 @@ def nearest(sims: DataFrame, k: int) -> DataFrame:
     return sims.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= k)
 
 
+#: Up to so many items, inner products of all pairs are summed in blocks of a table; beyond, pairs are joined and grouped.
+DENSE = 20_000
+BLOCK_MB, BLOCKS = 32, 12
+
+
+def nearest_of_all(state: DataFrame, k: int) -> DataFrame:
+    """nearest(cosine(state, state), k), with every item as a query. state: ``(k, i, r)``, an item's users, r positive.
+
+    A user's items travel as one row to each block of items that has some of them; a block's inner products with all
+    items are summed there, so that no pairs are shuffled.
+    """
+    code = F.xxhash64(F.col("k").cast("bigint"))
+    own = norms(state).withColumn("h", code).orderBy("k").limit(DENSE + 1).toPandas()
+    n = len(own)
+    if n > DENSE:
+        return nearest(cosine(state, state), k)
+    items, norm = own["k"].to_numpy(np.int64), own["norm"].to_numpy(float)
+    blocks = max(BLOCKS, -(-n * n * 8 // (BLOCK_MB << 20)))
+    block_of = own["h"].to_numpy(np.int64) % blocks
+    members = [np.flatnonzero(block_of == x) for x in range(blocks)]
+    place = np.zeros(n, np.int64)
+    for own_items in members:
+        place[own_items] = np.arange(len(own_items))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dots: dict[int, np.ndarray] = {}
+        for batch in batches:
+            ends = batch.column(1).offsets.to_numpy()
+            codes = np.searchsorted(items, batch.column(1).values.to_numpy())
+            values = batch.column(2).flatten().to_numpy()
+            first = ends[0]
+            codes = codes[first : ends[-1]]
+            where, row = block_of[codes], place[codes]
+            for block, a, z in zip(batch.column(0).to_pylist(), (ends[:-1] - first).tolist(), (ends[1:] - first).tolist(), strict=True):
+                if block not in dots:
+                    dots[block] = np.zeros((len(members[block]), n))
+                c, v = codes[a:z], values[a:z]
+                inside = np.flatnonzero(where[a:z] == block)
+                dots[block][row[a:z][inside][:, None], c] += v[inside][:, None] * v
+        for block, dot in dots.items():
+            for at, a in enumerate(members[block]):
+                others = np.flatnonzero(dot[at])
+                others = others[others != a]
+                sim = dot[at, others] / (norm[a] * norm[others])
+                best = np.lexsort((items[others], -np.round(sim, 9)))[:k]
+                cols = (np.full(len(best), items[a]), items[others[best]], sim[best], np.arange(1, len(best) + 1))
+                yield pa.record_batch([pa.array(x) for x in cols], names=["a", "b", "sim", "place"])
+
+    rows = state.groupBy("i").agg(F.collect_list(F.struct("k", F.col("r").cast("double").alias("r"))).alias("own"))
+    rows = rows.select(F.col("own.k").alias("items"), F.col("own.r").alias("values"))
+    to = F.array_distinct(F.transform("items", lambda x: F.pmod(F.xxhash64(x.cast("bigint")), F.lit(blocks)).cast("int")))
+    rows = rows.select(F.explode(to).alias("block"), "items", "values").repartition(blocks, "block")
+    return rows.mapInArrow(kernel, "a bigint, b bigint, sim double, place bigint")
+
+
 def by_users(near: DataFrame, state: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """``(u, i, score, place)``: the k unseen items with the highest sum of similarity x neighbour's value."""
     votes = near.join(state.select(F.col("k").alias("b"), "i", "r"), "b")

@@ -403,6 +403,15 @@ def itemknn_scores(spark, d):
     return _rounded(K.by_items(near, own, own.select("u", "i"), 10), "score")
 
 
+@query()
+def itemknn_whole_scores(spark, d):
+    """itemknn_scores with a vote of every item the user rated, and not only of those whose code is divisible by EVERY."""
+    m = _m(spark, d)
+    near = K.nearest_of_all(m.select(F.col("i").alias("k"), F.col("u").alias("i"), "r"), 10)
+    own = m.where(F.col("u") % EVERY == 0)
+    return _rounded(K.by_items(near, own, own.select("u", "i"), 10), "score")
+
+
 # --- Metric curves ----------------------------------------------------------------------------------------------------
 _REVEALED = f"""WITH {_X}, {_RUNS},
 f AS (SELECT n.run, n.iter, n.u, n.i, coalesce(m.r >= {THRESHOLD}, FALSE) AS hit, row_number() OVER (PARTITION BY run, n.u, n.i ORDER BY seq) = 1 AS fresh FROM n LEFT JOIN m ON n.u = m.u AND n.i = m.i),
