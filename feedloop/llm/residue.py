@@ -126,10 +126,11 @@ SLOTS = tuple(
         ("$", rf"(?<![\w$])\$({_NAME})\$"),
         ("__", r"(?<!\w)__([^\W_][^\s]{0,48}?)__(?!\w)"),
         ("{", r"(?<![{\\])\{([^\W\d_][\w.\-]{1,48}(?:\[\d+\])?|\d{1,2})\}(?!\{)"),
+        ("{", r"\{\d{1,3}:\s?([^\W\d_][\w.\-]{1,48}(?:\[\d+\])?)\s?\}"),
     )
 )
-#: Brackets that subtitles use as well.
-BRACKET = re.compile(r"\[\s?([^\[\]<>{}\n|]{2,44}?(?:\[\d+\])?)\s?\]|<\s?([^\[\]<>{}\n|/!?%=][^\[\]<>{}\n|=\"”]{0,44}?(?:\[\d+\])?)\s?>")
+#: Brackets and braces that subtitles use as well.
+BRACKET = re.compile(r"\[\s?([^\[\]<>{}\n|]{2,44}?(?:\[\d+\])?)\s?\]|<\s?([^\[\]<>{}\n|/!?%=][^\[\]<>{}\n|=\"”]{0,44}?(?:\[\d+\])?)\s?>|\{\s?([^\[\]<>{}\n|\\\";]{2,60}?)\s?\}")
 _SLOTTY = re.compile(r"[{\[<%$@_]")
 #: What formatting codes look like that have lost their backslash.
 _CODE = re.compile(r"^(?:an?\d{1,2}|[ibus][01]|fs\d+|pos|fad|k\d+)$")
@@ -180,11 +181,13 @@ def fold_name(name: str) -> str:
 
 
 def brackets(text: str) -> Iterator[tuple[str, bool]]:
-    """(content, whether in angle brackets) of the brackets that may be slots; markup is left out."""
+    """(content, whether in angle brackets) of the brackets and braces that may be slots; markup and codes are left out."""
     for m in BRACKET.finditer(text):
-        square, angle = m.groups()
-        if square is not None:
-            yield square, False
+        square, angle, brace = m.groups()
+        if brace is not None and _CODE.match(brace.lower()):
+            continue
+        if angle is None:
+            yield square or brace, False
             continue
         head = re.split(r"[\s.:]", angle, maxsplit=1)[0].lower()
         if head not in TAGS and not angle[0].isdigit() and re.search(r"[^\W\d_]", angle):
