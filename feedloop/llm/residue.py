@@ -202,10 +202,18 @@ def names_shown(text: str) -> list[str]:
 
 
 # --- Messages ---------------------------------------------------------------------------------------------------------
-_FOLD = str.maketrans({
+class _Letters(dict):
+    """A table for translate: folded letters; what is no letter is dropped."""
+
+    def __missing__(self, code: int) -> str | None:
+        out = self[code] = chr(code) if chr(code).isalpha() else None
+        return out
+
+
+_FOLD = _Letters(str.maketrans({
     "0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "ı": "l", "5": "s", "$": "s", "@": "a", "4": "a", "3": "c", "e": "c", "8": "b",
     "t": "f", "7": "f", "6": "g", "9": "g", "q": "g",
-})
+}))
 _IDS = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d{2,}", re.IGNORECASE)
 _TAG = re.compile(r"<[^<>\n]{0,200}>")
 _CODES = re.compile(r"\{[\\yY][^{}]*\}")
@@ -218,7 +226,6 @@ def skeleton(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text))
     text = text.casefold().translate(_FOLD)
-    text = "".join(filter(str.isalpha, text))
     return text.replace("vv", "w").replace("rn", "m").replace("cl", "d")
 
 
@@ -245,9 +252,10 @@ class Phrases:
     def covered(self, skel: str) -> float:
         """The share of letters that lie in sequences of texts that are mostly there."""
         n = len(skel)
-        found = [g if (g := skel[k : k + GRAM]) in self.where else None for k in range(n - GRAM + 1)]
-        if 2 * sum(g is not None for g in found) < len(found) * FOUND or n < GRAM:
+        own = [skel[k : k + GRAM] for k in range(n - GRAM + 1)]
+        if 2 * sum(map(self.where.__contains__, own)) < len(own) * FOUND or n < GRAM:
             return 0.0
+        found = [g if g in self.where else None for g in own]
         hits = Counter(k for g in set(found) if g for k in self.where[g])
         there = [self.grams[k] for k, c in hits.items() if c >= FOUND * len(self.grams[k])]
         upto = total = 0
@@ -308,19 +316,13 @@ _WORD = re.compile(r"[^\W_]+[;]?")
 TYPED = frozenset(w for row in ROWS for way in (row, row[::-1]) for a in range(len(row)) for z in range(a + 3, len(row) + 1) if (w := way[a:z]))
 
 
-#: Words of dummy captions that are also in dialogue, adverts and their addresses.
-COMMON = frozenset(("example", "subtitle", "your", "line", "of", "the", "goes", "here"))
-
-
-@lru_cache(maxsize=1)
-def _hints() -> tuple[str, ...]:
-    """For each dummy caption in each form, its longest word that isn't common, or else its last two."""
-    words = [f.lower().split() for d in DUMMIES for f in (d, *misread(d))]
-    return tuple({max((x for x in w if x not in COMMON), key=len, default=" ".join(w[-2:])) for w in words if w})
+@lru_cache(maxsize=10_000)
+def _dummy(skel: str) -> bool:
+    return _known()[1].covered(skel) >= COVER
 
 
-def is_filler(unit: str, dummies: bool = True) -> bool:
-    """Dummy captions (if asked for), dummy Latin, keyboard noise, or one word again and again."""
+def is_filler(unit: str) -> bool:
+    """Dummy captions, dummy Latin, keyboard noise, or one word again and again."""
     text = letters(unit).strip()
     words = _WORD.findall(text.lower())
     if not words:
@@ -331,29 +333,20 @@ def is_filler(unit: str, dummies: bool = True) -> bool:
         return True
     if len(words) >= 2 and len(set(words)) == 1 and not text.startswith(("[", "(", "*", "#", "♪")):
         return True
-    return dummies and _known()[1].covered(skeleton(text)) >= COVER
+    return _dummy(skeleton(text))
 
 
 def mostly_filler(cues: list[str]) -> bool:
     """Whether more than half of the cues are filler."""
-    dummies = len(cues) <= SURE
-    if not dummies:
-        # Of many dummy captions, at least one has its longest word undamaged.
-        low = "\n".join(cues).lower()
-        dummies = any(h in low for h in _hints())
     other = 0
     for c in cues:
-        if not is_filler(c, dummies):
+        if not is_filler(c):
             other += 1
             if 2 * other >= len(cues):
                 return False
     return bool(cues)
 
 
-#: Up to so many cues, each is compared with all dummy captions.
-SURE = 6
-
-
 # --- Units ------------------------------------------------------------------------------------------------------------
 _CLOCK = r"\d{1,3}[:.]\d{2}(?:[:.,;]\d{1,3}){0,3}"
 _GAP = r"[^\S\n]{0,8}"

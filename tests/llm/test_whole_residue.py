@@ -14,3 +14,10 @@ def test_slots_in_braces(slot):
 @pytest.mark.parametrize("code", ["{100}{250}Hello", "{y:i}Hello", "{Y:b}Hello", "{C:$0000ff}Hello", "{\\an8}Hello", "{an8}Hello", "{\\pos(10,20)}Hello", "{\\fad(1,2)\\i1}Hello", "{12:30} he said", "{laughs softly}"])
 def test_codes_in_braces_are_no_slots(code):
     assert R.verdict(_cue(*TALK, code), frozenset(["title"]), NONE) is None
+
+
+@pytest.mark.parametrize("line", ["Escriba aqu? su subt?tulo", "Tekst zast?pczy", "Tekst zast\ufffdpczy", "E j e m p l o   d e   t e x t o", "Line of the\nexample"])
+@pytest.mark.parametrize("n", [6, 7, 30])
+def test_damaged_filler_of_any_length(line, n):
+    assert R.verdict(_cue(*[line] * n), NONE, NONE) == "filler"
+    assert R.verdict(_cue(*[line] * n, *TALK * n), NONE, NONE) is None
