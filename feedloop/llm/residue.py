@@ -1,10 +1,10 @@
 """Template residue and error-page text: aligned templates, their slots, filler, and repeated whole-page messages.
 
 A record is cut to units (cues, or lines where there are no times). Units of all records are aligned by a key that masks
-what differs between records of one template (numbers, ids, letter case). Two things are learnt from the alignment:
-names that stand in slots (what is written in a notation that only templates use, or in angle brackets that are no
-markup), which are then also found in notations that subtitles use for other things; and page templates, units that
-stand alone as whole records under many groups, and seldom among cues. Fixed lists of public messages and dummy texts
+what differs between records of one template (numbers, ids, letter case). Page templates are learnt from the alignment:
+units that stand alone as whole records under many groups, and seldom among cues. Slots aren't: they come from fixed
+notations. Names shown there (in a notation that only templates use, or in angle brackets that are no markup) are then
+also found in notations that subtitles use for other things. Fixed lists of public messages and dummy texts
 find what is too rare in a corpus to be learnt. Messages are compared by short letter sequences after folding letters that
 character recognition confuses, so that damage doesn't hide them; a unit is one if most of it is covered.
 """
