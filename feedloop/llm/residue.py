@@ -220,6 +220,7 @@ _CODES = re.compile(r"\{[\\yY][^{}]*\}")
 GRAM = 5
 
 
+@lru_cache(maxsize=4096)
 def skeleton(text: str) -> str:
     """Letters only, without what character recognition and encodings confuse or spoil."""
     text = _IDS.sub(" ", text)
@@ -294,13 +295,12 @@ def letters(unit: str) -> str:
 def is_message(unit: str) -> bool:
     """Whether the unit is nothing but what a server, program or page says in a text's place."""
     pages, _, short = _known()
-    body = letters(unit)
+    body = letters(unit).strip()
     skel = skeleton(body)
     if skel in short:
         return True
     if len(skel) >= LETTERS and pages.covered(skel) >= COVER:
         return True
-    body = body.strip()
     if len(body) <= 100 and (m := _STATUS_LINE.match(body)) and skeleton(m.group(1)) in short:
         return True
     if _MARKUP.match(unit):
@@ -455,7 +455,7 @@ def verdict(text: str, names: frozenset[str], pages: frozenset[str]) -> str | No
             name = fold_name(content)
             if len(name) > 2 and (name in names or FILL_IN.search(content) or (angle and " " in content.strip())):
                 return "slot"
-    cues, after, timed = units(text)
+    cues, after, _ = units(text)
     cues = [c for c in cues if c]
     if mostly_filler(cues):
         return "filler"
@@ -465,13 +465,19 @@ def verdict(text: str, names: frozenset[str], pages: frozenset[str]) -> str | No
 
     if any(message(u) or any(map(is_message, u.split("\n"))) for u in after):
         return "page"
-    if not timed or len(cues) <= PAGE_UNITS:
-        # Bare markup between the messages doesn't count.
-        said = [c for c in cues if any(map(str.isalpha, letters(c)))]
-        found = sum(map(message, said))
-        return "page" if found and 2 * found >= len(said) else None
-    last = cues[-1]
-    return "page" if message(last) or message(last.rsplit("\n", 1)[-1]) else None
+    # Bare markup between the messages doesn't count.
+    said = [c for c in cues if any(map(str.isalpha, letters(c)))]
+    other = 0
+    for c in said:
+        if not message(c):
+            other += 1
+            if 2 * other > len(said):
+                break
+    else:
+        if said:
+            return "page"
+    last = cues[-1] if cues else ""
+    return "page" if last and (message(last) or message(last.rsplit("\n", 1)[-1])) else None
 
 
 def residue(df: DataFrame, key: str, text: str, group: str) -> DataFrame:

@@ -21,3 +21,10 @@ def test_codes_in_braces_are_no_slots(code):
 def test_damaged_filler_of_any_length(line, n):
     assert R.verdict(_cue(*[line] * n), NONE, NONE) == "filler"
     assert R.verdict(_cue(*[line] * n, *TALK * n), NONE, NONE) is None
+
+
+def test_messages_in_records_of_any_length():
+    gone = ["The page you requested could not be found.", "502 Bad Gateway", "Please enable JavaScript to continue using this application."]
+    assert R.verdict(_cue(*gone, *gone, "nginx or what else is said here"), NONE, NONE) == "page"
+    assert R.verdict("\n\n".join([*TALK, gone[0]]), NONE, NONE) == "page"
+    assert R.verdict(_cue(gone[0], *TALK), NONE, NONE) is None and R.verdict("\n\n".join([gone[0], *TALK]), NONE, NONE) is None
