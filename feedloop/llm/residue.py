@@ -389,12 +389,12 @@ PAGE_UNITS = 4
 #: A page template stands alone in records of at least so many groups, and in this share of all groups it occurs in,
 #: counted over all records at the places that a page can take: short records, and the end of longer ones.
 PAGE_GROUPS, PAGE_SHARE = 8, 0.25
-#: Names and templates kept for the corpus: the most frequent ones, a bound on what is sent to the tasks.
+#: Names and templates of a corpus that can be sent to the tasks, together twice this; more are refused.
 KEPT = 20_000
 
 
 def learn(df: DataFrame, text: str, group: str) -> tuple[frozenset[str], frozenset[str]]:
-    """(slot names, page templates' keys) of a corpus; both bounded by KEPT, however large it is."""
+    """(slot names, page templates' keys) of a corpus, all of them; more than KEPT allows raise."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -438,8 +438,9 @@ def learn(df: DataFrame, text: str, group: str) -> tuple[frozenset[str], frozens
     )
     page = F.col("name").isNull() & (F.col("alone") >= PAGE_GROUPS) & (F.col("alone") >= PAGE_SHARE * F.col("groups"))
     kept = folded.where((F.col("name").isNotNull() & (F.col("n") >= 2)) | page)
-    weight = F.when(F.col("name").isNotNull(), F.col("n")).otherwise(F.col("alone"))
-    top = kept.select("name", "shown").orderBy(weight.desc(), "name", "shown").limit(2 * KEPT).collect()
+    top = kept.select("name", "shown").limit(2 * KEPT + 1).collect()
+    if len(top) > 2 * KEPT:
+        raise ValueError(f"more than {2 * KEPT} slot names and page templates in the corpus; raise residue.KEPT")
     return frozenset(r["name"] for r in top if r["name"]), frozenset(r["shown"] for r in top if r["shown"])
 
 

@@ -28,3 +28,12 @@ def test_messages_in_records_of_any_length():
     assert R.verdict(_cue(*gone, *gone, "nginx or what else is said here"), NONE, NONE) == "page"
     assert R.verdict("\n\n".join([*TALK, gone[0]]), NONE, NONE) == "page"
     assert R.verdict(_cue(gone[0], *TALK), NONE, NONE) is None and R.verdict("\n\n".join([gone[0], *TALK]), NONE, NONE) is None
+
+
+def test_too_many_names_raise(spark, monkeypatch):
+    names = [(k, f"t{k}", _cue("{{sprecher}} {{datum}} {{titel}}")) for k in range(3)]
+    df = spark.createDataFrame(names, "doc_id bigint, title string, text string")
+    assert R.learn(df, "text", "title")[0] == {"sprecher", "datum", "titel"}
+    monkeypatch.setattr(R, "KEPT", 1)
+    with pytest.raises(ValueError, match="slot names"):
+        R.learn(df, "text", "title")
