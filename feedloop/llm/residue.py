@@ -1,12 +1,16 @@
 """Template residue and error-page text: aligned templates, their slots, filler, and repeated whole-page messages.
 
-A record is cut to units (cues, or lines where there are no times). Units of all records are aligned by a key that masks
-what differs between records of one template (numbers, ids, letter case). Page templates are learnt from the alignment:
-units that stand alone as whole records under many groups, and seldom among cues. Slots aren't: they come from fixed
-notations. Names shown there (in a notation that only templates use, or in angle brackets that are no markup) are then
-also found in notations that subtitles use for other things. Fixed lists of public messages and dummy texts
-find what is too rare in a corpus to be learnt. Messages are compared by short letter sequences after folding letters that
-character recognition confuses, so that damage doesn't hide them; a unit is one if most of it is covered.
+A record is cut to units (cues, or lines where there are no times). One pass over all units of all records aligns them:
+
+- by a key that masks what differs between records of one template (numbers, ids, letter case). Page templates are keys that stand in a page's place
+  (in records without times, after the last cue, within a page's markup) under many groups, and seldom among cues. Dummy captions are keys that stand
+  in records whose captions count themselves, and seldom elsewhere.
+- by a frame (a unit's first and last words), which induces slots: the place between them where records of one template differ. A notation in which
+  names stand in such places, where aligned units have plain words, and whose names occur in other notations too, is one of templates; its names, and
+  those of the public template languages, are then also found in brackets that subtitles use for other things. A frame in which names stood has its slot
+  known, so defaults and blanks kept there are found as well.
+
+What is learnt is small (it counts templates, not records); public lists and a lexicon find what is too rare in a corpus to be learnt.
 """
 
 from __future__ import annotations
@@ -15,83 +19,18 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloop.llm.notices import BETWEEN, MARKUP, Judge, letters
+from feedloop.session import cut
+
 # --- Fixed values -----------------------------------------------------------------------------------------------------
-#: Reason phrases of HTTP, as servers print them.
-STATUS = (
-    "Bad Request", "Unauthorized", "Authorization Required", "Payment Required", "Forbidden", "Not Found", "Method Not Allowed",
-    "Not Acceptable", "Request Timeout", "Conflict", "Gone", "Precondition Failed", "Payload Too Large", "Too Many Requests",
-    "Unavailable For Legal Reasons", "Internal Server Error", "Not Implemented", "Bad Gateway", "Service Unavailable",
-    "Service Temporarily Unavailable", "Gateway Timeout", "Gateway Time-out", "Bandwidth Limit Exceeded",
-)
-#: What servers, programs and sites say instead of a page or file.
-MESSAGES = (
-    "Désolé, la page demandée est introuvable.", "Der Dienst ist vorübergehend nicht erreichbar (Fehler).",
-    "Zugriff verweigert. Bitte melden Sie sich an.", "ページが見つかりません。", "الصفحة غير موجودة", "Страница не найдена. Ошибка",
-    "We noticed strange traffic from your network. Solve the puzzle below to show you are no robot.",
-    'Traceback (most recent call last): File "serve.py", line , in fetch_cue KeyError: \'cue\'',
-    "This file has been removed at the request of the uploader.", "Página não encontrada. O ficheiro foi removido.",
-    "You have reached your download limit for today. Please log in or wait minutes.",
-    "Warning: cannot open /srv/subs/.srt, no such file, in get.php on line", "This domain is parked. The account has been suspended.",
-    "Sorry, something went wrong on our end. Our team has been notified.", "The link you followed has expired.",
-    "Die angeforderte Datei wurde nicht gefunden.", "Fatal error: out of memory (bytes wanted) in export.php on line",
-    "Too many downloads from your address. Slow down and retry in seconds.",
-    "Your session has expired. Please sign in again to continue.", "Access to this resource on the server is denied!",
-    "Errore del server, riprova tra minuti.", "Upstream gave no answer before the headers; cause: connect timeout",
-    "Could not connect to the subtitle database (code)", "La página solicitada no existe o ha sido eliminada.",
-    "Aradığınız sayfa bulunamadı.", "Sorry, this content isn't available in your region.",
-    "Une erreur est survenue. Veuillez réessayer plus tard.", "The requested subtitle file could not be found on this server.",
-    "This server is being maintained and cannot answer right now. Come back later.",
-    "We couldn't find the page you were looking for. It may have moved.", "Página no encontrada. Vuelva al inicio.",
-    "Ha superado el límite de descargas. Inténtelo de nuevo en minutos.", "Checking your connection before opening the download. Ref",
-    "Serwer nie odpowiada. Spróbuj ponownie później.", "Nie znaleziono strony.", "Nie znaleziono pliku. Błąd", "The page you requested could not be found.",
-    "An error occurred while processing your request.", "Access denied. You don't have permission to access this resource.",
-    "This site is temporarily down for maintenance. Please try again later.", "This account has been suspended.",
-)
-#: Notices that scripts are required.
-SCRIPTS = (
-    "Loading...", "Cette page nécessite l'exécution de scripts.", "字幕を表示するにはJavaScriptを有効にしてください。",
-    "Debe activar JavaScript para ver este contenido.", "Diese Seite funktioniert nur mit eingeschalteten Skripten.",
-    "Your browser does not support scripts or they are blocked.", "Please enable JavaScript to view the subtitles.",
-    "Scripts are required to load the dialogue list. Allow scripts and cookies, then refresh.",
-    "Per visualizzare i sottotitoli abilita JavaScript.", "JavaScript is disabled in your browser. The player cannot start.",
-    "This site requires JavaScript to run correctly. Turn it on in your browser settings and reload.",
-    "Ative o JavaScript para continuar.", "Switch on JavaScript and cookies, then go on",
-    "A modern browser with scripting turned on is needed here. Ad blockers may also stop the page.",
-    "Bitte aktivieren Sie JavaScript, um die Untertitel zu laden.", "Parts of this page stay empty until scripts are allowed.",
-    "يرجى تفعيل جافا سكريبت لعرض الصفحة", "Включите JavaScript, чтобы просмотреть субтитры.",
-    "Active los scripts en su navegador para leer los subtítulos.", "Devam etmek için JavaScript'i etkinleştirin.",
-    "Włącz obsługę JavaScript, aby zobaczyć napisy.", "This captions app only starts once JavaScript is on.",
-    "Sorry, the caption viewer can't work while JavaScript is switched off.", "Veuillez activer JavaScript pour afficher cette page.",
-    "You need to enable JavaScript to run this app.", "Please enable JavaScript to continue using this application.",
-)
-#: What surrounds such messages.
-WRAPPERS = ('{"status":"error","detail":"","request":""}', "<Error><Code></Code><RequestId></RequestId></Error>", "edgeproxy", "Request ID:", "HTTP", "nginx", "Apache Server at Port")
-#: Dummy captions.
-DUMMIES = (
-    "This is a placeholder subtitle", "Testo segnaposto", "Texte factice, ligne", "Second line of sample text", "Type your text here",
-    "Caption text to be supplied", "Temporary line, do not translate", "This text is only here to fill the space", "Beispielzeile",
-    "Sample text for line", "Your subtitle goes here", "Example cue number", "Örnek metin", "Hier steht ein Blindtext",
-    "Line of the example", "Votre sous-titre ici", "Tekst zastępczy", "Ejemplo de texto", "Subtitle (dummy)",
-    "Dummy caption, replace before release", "نص تجريبي", "Texto de exemplo", "Platzhalter für Untertitel",
-    "Texto de relleno, línea", "ここに字幕を入力", "Escriba aquí su subtítulo", "Пример текста", "Lorem ipsum",
-)
-#: Words of the customary dummy Latin.
-LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
-    "enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in "
-    "reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt "
-    "culpa qui officia deserunt mollit anim id est laborum".split()
-)
-#: Rows of a keyboard, along which noise is typed.
-ROWS = ("qwertyuiop", "asdfghjkl;", "zxcvbnm,./", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm", "йцукенгшщзхъ", "фывапролджэ", "1234567890")
 #: Words by which a bracket asks to be filled in.
 FILL_IN = re.compile(
     r"(?i)\b(?:insert\w*|insér\w*|inser\w*|einfügen|einfuegen|your|goes here|here|tbd|tba|todo|tbc|fill in|placeholder|add|enter|replace|type|"
@@ -107,7 +46,7 @@ TAGS = frozenset(
 
 # --- Slots ------------------------------------------------------------------------------------------------------------
 _NAME = r"[^\W\d_](?:[^\s{}<>%$|@\"'`=]{0,48}[^\s{}<>%$|@\"'`=:,;!?])?"
-#: Notations that nothing but a template uses, by what they open with; the first group is the name.
+#: Notations of public template languages, by what they open with; the first group is the name. Others are induced from a corpus.
 SLOTS = tuple(
     (opening, re.compile(pattern))
     for opening, pattern in (
@@ -115,23 +54,19 @@ SLOTS = tuple(
         ("{%", r"\{%-?\s*\w+\s*([^%\n]{0,60})%\}"),
         ("${", r"\$\{\s*([^\s{}]{1,50})\s*\}"),
         ("#{", r"#\{\s*([^\s{}]{1,50})\s*\}"),
-        ("{ {", r"\{ \{\s*([^\s{}]{1,50})\s*\} ?\}"),
         ("<%", r"<%[=\-#]?\s*([^\s%]{1,50})\s*%>"),
         ("<?", r"<\?(?:php|=)\s*(?:echo\s+)?\$?([^\s;?]{1,50})"),
-        ("@@", r"@@([^\s@]{1,50})@@"),
         ("%(", r"%\(([^\s()]{1,50})\)[sdrf]"),
         ("[[", r"\[\[([^\s\[\]]{1,50}(?:\[\d+\])?)\]\]"),
-        ("<<", r"<<([^\s<>]{1,50})>>"),
         ("%", rf"%({_NAME})%"),
         ("$", rf"(?<![\w$])\$({_NAME})\$"),
         ("__", r"(?<!\w)__([^\W_][^\s]{0,48}?)__(?!\w)"),
         ("{", r"(?<![{\\])\{([^\W\d_][\w.\-]{1,48}(?:\[\d+\])?|\d{1,2})\}(?!\{)"),
-        ("{", r"\{\d{1,3}:\s?([^\W\d_][\w.\-]{1,48}(?:\[\d+\])?)\s?\}"),
     )
 )
 #: Brackets and braces that subtitles use as well.
 BRACKET = re.compile(r"\[\s?([^\[\]<>{}\n|]{2,44}?(?:\[\d+\])?)\s?\]|<\s?([^\[\]<>{}\n|/!?%=][^\[\]<>{}\n|=\"”]{0,44}?(?:\[\d+\])?)\s?>|\{\s?([^\[\]<>{}\n|\\\";]{2,60}?)\s?\}")
-_SLOTTY = re.compile(r"[{\[<%$@_]")
+_SLOTTY = re.compile(r"[{\[<%$@_~^|*#(«]")
 #: What formatting codes look like that have lost their backslash.
 _CODE = re.compile(r"^(?:an?\d{1,2}|[ibus][01]|fs\d+|pos|fad|k\d+)$")
 
@@ -201,150 +136,27 @@ def names_shown(text: str) -> list[str]:
     return [n for n in out if len(n) > 2]
 
 
-# --- Messages ---------------------------------------------------------------------------------------------------------
-class _Letters(dict):
-    """A table for translate: folded letters; what is no letter is dropped."""
-
-    def __missing__(self, code: int) -> str | None:
-        out = self[code] = chr(code) if chr(code).isalpha() else None
-        return out
-
-
-_FOLD = _Letters(str.maketrans({
-    "0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "ı": "l", "5": "s", "$": "s", "@": "a", "4": "a", "3": "c", "e": "c", "8": "b",
-    "t": "f", "7": "f", "6": "g", "9": "g", "q": "g",
-}))
-_IDS = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d{2,}", re.IGNORECASE)
-_TAG = re.compile(r"<[^<>\n]{0,200}>")
-_CODES = re.compile(r"\{[\\yY][^{}]*\}")
-GRAM = 5
-
-
-@lru_cache(maxsize=4096)
-def skeleton(text: str) -> str:
-    """Letters only, without what character recognition and encodings confuse or spoil."""
-    text = _IDS.sub(" ", text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text))
-    text = text.casefold().translate(_FOLD)
-    return text.replace("vv", "w").replace("rn", "m").replace("cl", "d")
-
-
-def misread(text: str) -> list[str]:
-    """How a text looks whose one-byte encoding was taken for another; UTF-8 is set right by repair."""
-    if text.isascii():
-        return []
-    return [text.encode(used, "ignore").decode("cp1252", "ignore") for used in ("cp1250", "cp1251", "cp1254", "cp1256", "koi8-r")] + [
-        text.encode("ascii", "ignore").decode()
-    ]
-
-
-class Phrases:
-    """Known texts, by the short letter sequences of their skeletons."""
-
-    def __init__(self, texts: Iterable[str]) -> None:
-        forms = {s: None for t in texts for f in (t, *misread(t)) if len(s := skeleton(f)) >= GRAM}
-        self.grams = [frozenset(s[k : k + GRAM] for k in range(len(s) - GRAM + 1)) for s in forms]
-        self.where: dict[str, list[int]] = {}
-        for k, own in enumerate(self.grams):
-            for g in own:
-                self.where.setdefault(g, []).append(k)
-
-    def covered(self, skel: str) -> float:
-        """The share of letters that lie in sequences of texts that are mostly there."""
-        n = len(skel)
-        own = [skel[k : k + GRAM] for k in range(n - GRAM + 1)]
-        if 2 * sum(map(self.where.__contains__, own)) < len(own) * FOUND or n < GRAM:
-            return 0.0
-        found = [g if g in self.where else None for g in own]
-        hits = Counter(k for g in set(found) if g for k in self.where[g])
-        there = [self.grams[k] for k, c in hits.items() if c >= FOUND * len(self.grams[k])]
-        upto = total = 0
-        for k, g in enumerate(found):
-            if g and any(g in own for own in there):
-                total += k + GRAM - max(upto, k)
-                upto = k + GRAM
-        return total / n
-
-
-#: The share of a known text's sequences that must be there.
-FOUND = 0.4
-
-
-@lru_cache(maxsize=1)
-def _known() -> tuple[Phrases, Phrases, frozenset[str]]:
-    """Pages' messages, dummy captions, and skeletons of reason phrases."""
-    return Phrases((*STATUS, *MESSAGES, *SCRIPTS, *WRAPPERS)), Phrases(DUMMIES), frozenset(map(skeleton, (*STATUS, "Loading...")))
-
-
-#: A unit is a message from this share of covered letters on, and a record's page is one from this many letters on.
-COVER, LETTERS = 0.72, 9
-_STATUS_LINE = re.compile(r"(?i)^\W*(?:http\S{0,6}|error|err0r)?\W*[1-5lso]\w{2}\b\W*(.{3,40}?)\W*$")
-
-
-#: How a page's or a service's answer begins; its texts stand between tags, or after names.
-_MARKUP = re.compile(r"(?i)^\W*(?:<\W{0,2}(?:html|!?doctype|.?xml|error|title|div|body|noscript|n0script)\b|\{\W{0,3}\w+\W{0,3}:)")
-_BETWEEN = re.compile(r"<[^<>]{0,200}>|\W{0,3}\w+[\"”“?\ufffd\u0080-\u009f]{0,3}\s?:\s?(?=[\"”“?\ufffd\u0080-\u009f{\w])|[\n{}\"”“]")
-
-
-def letters(unit: str) -> str:
-    """What a unit says: without markup and codes."""
-    return _TAG.sub(" ", _CODES.sub(" ", unit))
-
+_EDGE = r"(?:[^\w\s.,!?'’\"“”…:;¿¡\-–—&/\\]|_)"
+#: A name between marks of any kind, as one token.
+MARK = re.compile(rf"({_EDGE}{{1,4}}(?: [{{\[<(])?[=#/%]?\s?(?:\d{{1,3}}:\s?)?)([^\W\d_](?:[\w.\-]{{0,48}}[^\W_])?(?:\[\d+\])?)(\s?{_EDGE}{{1,4}}(?: [}}\]>)])?)")
+_EDGED = re.compile(_EDGE)
+#: What stands in a slot that was filled with nothing.
+DEFAULTS = frozenset("undefined null none nil nan n/a tbd tba xxx ??? ... ___ ____ -- [] {} () <> % $".split())
+#: The label of names that public template languages show.
+PUBLIC = "public"
 
-def is_message(unit: str) -> bool:
-    """Whether the unit is nothing but what a server, program or page says in a text's place."""
-    pages, _, short = _known()
-    body = letters(unit).strip()
-    skel = skeleton(body)
-    if skel in short:
-        return True
-    if len(skel) >= LETTERS and pages.covered(skel) >= COVER:
-        return True
-    if len(body) <= 100 and (m := _STATUS_LINE.match(body)) and skeleton(m.group(1)) in short:
-        return True
-    if _MARKUP.match(unit):
-        return any(is_message(part) for part in _BETWEEN.split(unit) if len(part) > 3 and part != unit)
-    return False
 
-
-# --- Filler -----------------------------------------------------------------------------------------------------------
-_WORD = re.compile(r"[^\W_]+[;]?")
-
-
-#: Words that lie along a row of keys, either way.
-TYPED = frozenset(w for row in ROWS for way in (row, row[::-1]) for a in range(len(row)) for z in range(a + 3, len(row) + 1) if (w := way[a:z]))
-
-
-@lru_cache(maxsize=10_000)
-def _dummy(skel: str) -> bool:
-    return _known()[1].covered(skel) >= COVER
-
-
-def is_filler(unit: str) -> bool:
-    """Dummy captions, dummy Latin, keyboard noise, or one word again and again."""
-    text = letters(unit).strip()
-    words = _WORD.findall(text.lower())
-    if not words:
-        return False
-    if not LATIN.isdisjoint(words) and sum(w in LATIN for w in words) >= 0.6 * len(words):
-        return True
-    if not TYPED.isdisjoint(words) and sum(w in TYPED for w in words) >= 0.6 * len(words):
-        return True
-    if len(words) >= 2 and len(set(words)) == 1 and not text.startswith(("[", "(", "*", "#", "♪")):
-        return True
-    return _dummy(skeleton(text))
-
-
-def mostly_filler(cues: list[str]) -> bool:
-    """Whether more than half of the cues are filler."""
-    other = 0
-    for c in cues:
-        if not is_filler(c):
-            other += 1
-            if 2 * other >= len(cues):
-                return False
-    return bool(cues)
+def marks(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(notation, folded name, start, end) of names between marks; markup is left out."""
+    for m in MARK.finditer(text):
+        before, name, after = m.groups()
+        if before == "<" and re.split(r"[.\-]", name, maxsplit=1)[0].lower() in TAGS or _CODE.match(name.lower()):
+            continue
+        if "_" not in before:
+            after = after.lstrip("_")
+        folded = fold_name(name)
+        if len(folded) > 2:
+            yield re.sub(r"\d+", "#", "".join((before + "…" + after).split())) + ("" if before.count(" ") == 0 or len(before.strip()) < 3 else " "), folded, m.start(), m.end()
 
 
 # --- Units ------------------------------------------------------------------------------------------------------------
@@ -377,108 +189,242 @@ def units(text: str) -> tuple[list[str], list[str], bool]:
 
 
 _VARIES = re.compile(r"\b(?=[a-f]*\d)[0-9a-f]{4,}\b|[\d#]+")
+_NUMBER = re.compile(r"[\d#]")
 
 
 def unit_key(unit: str) -> str:
     """The unit with what differs between records of a template masked."""
-    return " ".join(_VARIES.sub("#", unit.lower()).split())
-
-
-#: A record without times and with at most so many units may be a whole page.
-PAGE_UNITS = 4
-#: A page template stands alone in records of at least so many groups, and in this share of all groups it occurs in,
-#: counted over all records at the places that a page can take: short records, and the end of longer ones.
-PAGE_GROUPS, PAGE_SHARE = 8, 0.25
-#: Names and templates of a corpus that can be sent to the tasks, together twice this; more are refused.
-KEPT = 20_000
-
-
-def learn(df: DataFrame, text: str, group: str) -> tuple[frozenset[str], frozenset[str]]:
-    """(slot names, page templates' keys) of a corpus, all of them; more than KEPT allows raise."""
+    unit = unit.lower()
+    if _NUMBER.search(unit):
+        unit = _VARIES.sub("#", unit)
+    return " ".join(unit.split())
+
+
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
+def frames(words: list[str]) -> tuple[int, ...]:
+    """Keys of a unit's frames: its first and last two words, and its first four."""
+    if len(words) < 5:
+        return ()
+    first = words[0] + " " + words[1] + " "
+    return hashed(first + words[-2] + " " + words[-1]), hashed(first + words[2] + " " + words[3] + " …")
+
+
+#: A page template stands in a page's place in at least so many groups, and in this share of all records it occurs in.
+PAGE_GROUPS, PAGE_SHARE = 4, 0.25
+#: A dummy caption stands in records that count themselves in at least so many groups, and in this share of all records it occurs in.
+DUMMY_GROUPS, DUMMY_SHARE = 4, 0.5
+#: A notation is one of templates if names stand in slots at least so often, in this share of its framed uses, and this share of its names is known
+#: from public template languages.
+HELD, HELD_SHARE, NAMED_SHARE = 4, 0.2, 0.5
+#: A slot is known if names of templates and plain words stood there in at least so many records.
+SLOT_RECORDS = 3
+#: Names, notations, slots, page templates and dummy captions of a corpus that can be sent to the tasks; more are refused.
+KEPT = 200_000
+
+
+class Learnt(NamedTuple):
+    """What a corpus shows: names of slots, notations, frames with a slot, page templates, dummy captions."""
+
+    names: frozenset[str] = frozenset()
+    notations: frozenset[str] = frozenset()
+    slots: frozenset[int] = frozenset()
+    pages: frozenset[str] = frozenset()
+    captions: frozenset[str] = frozenset()
+
+
+def counts_itself(cues: list[str]) -> bool:
+    """Whether captions hold their own place in the record, as numbered dummy captions do."""
+    own = 0
+    for k, c in enumerate(cues, 1):
+        if str(k) in c and re.search(rf"(?<!\d){k}(?!\d)", c) and any(map(str.isalpha, c)):
+            own += 1
+    return own >= 3 and 4 * own >= len(cues)
+
+
+def _parts(unit: str) -> list[str]:
+    """What a unit in a page's place says, piece by piece."""
+    if MARKUP.match(unit):
+        return [p for p in BETWEEN.split(unit) if len(p) > 7]
+    return [letters(unit)]
+
+
+class _Counts:
+    """What a batch of records shows, added up."""
+
+    def __init__(self) -> None:
+        self.cues: Counter[int] = Counter()
+        self.frames: Counter[tuple[int, str | None]] = Counter()
+        self.names: Counter[tuple[str, str]] = Counter()
+        self.pages: dict[tuple[int, int], str] = {}
+        self.numbered: dict[tuple[int, int], str] = {}
+
+    def add(self, raw: str, title: str | None) -> None:
+        text = plain(raw)
+        cues, after, timed = units(text)
+        every = [*cues, *after]
+        slotty = _SLOTTY.search(text) is not None
+        if slotty:
+            self.names.update({(n, PUBLIC) for n in names_shown(text)} | {(name, label) for label, name, _, _ in marks(text)})
+        keys: dict[str, str] = {}
+        for u in every:
+            if u and u not in keys:
+                keys[u] = unit_key(u)
+                found = next(marks(u), None) if slotty and _EDGED.search(u) else None
+                if found is None:
+                    self.frames.update([(f, None) for f in frames(u.lower().split())])
+                else:
+                    label, _, start, end = found
+                    left, right = u[:start].lower().split(), u[end:].lower().split()
+                    if len(left) >= 2 and len(right) >= 2:
+                        self.frames[frames([*left, "", *right])[0], label] += 1
+                    if len(left) >= 4 and not right:
+                        self.frames[frames([*left, ""])[1], label] += 1
+        said = {hashed(k) for k in keys.values()}
+        if timed:  # what stands before the first cue, and the lines of a cue, are no page either
+            said.update(hashed(unit_key(line)) for u in cues if "\n" in u for line in u.split("\n"))
+            said.update(hashed(unit_key(line)) for line in text[: TIMES.search(text).start()].split("\n"))
+        self.cues.update(said)
+        if title is None or (slotty and slots(text)):  # a template with open slots is no page
+            return
+        own = hashed(title)
+        for u in after if timed else every:
+            for part in _parts(u):
+                self._show(self.pages, part, own)
+        if timed:
+            for u in cues:
+                if MARKUP.match(u):
+                    for part in _parts(u):
+                        self._show(self.pages, part, own)
+        if counts_itself(cues):
+            for u in cues:
+                self._show(self.numbered, letters(u), own)
+
+    @staticmethod
+    def _show(where: dict[tuple[int, int], str], part: str, own: int) -> None:
+        key = unit_key(part)
+        if sum(map(str.isalpha, key)) >= 3:
+            where[hashed(key), own] = key
+
+    def rows(self) -> list[tuple]:
+        out: list[tuple] = [(0, k, None, None, None, n) for k, n in self.cues.items()]
+        out += [(1, k, g, None, s, 1) for (k, g), s in self.pages.items()]
+        out += [(2, k, g, None, s, 1) for (k, g), s in self.numbered.items()]
+        out += [(3, hashed(name), None, label, name, n) for (name, label), n in self.names.items()]
+        return out + [(4, k, None, label, None, n) for (k, label), n in self.frames.items()]
+
+
+def learn(df: DataFrame, text: str, group: str) -> Learnt:
+    """What all units of a corpus show, none left out; more than KEPT templates raise."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int8(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         for b in batches:
-            names: Counter[str] = Counter()
-            seen: set[tuple[int, int, bool]] = set()
-            shown: dict[int, str] = {}
+            counts = _Counts()
             for raw, title in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not raw:
-                    continue
-                raw = plain(raw)
-                if _SLOTTY.search(raw):
-                    names.update(set(names_shown(raw)))
-                if title is None:
-                    continue
-                cues, after, timed = units(raw)
-                found = [*cues, *after]
-                alone = not timed and len(found) <= PAGE_UNITS
-                if len(found) > PAGE_UNITS:  # of a longer record, only its end can be a page
-                    found = [*cues[-1:], *after]
-                own = xxhash.xxh64_intdigest(title) >> 1
-                for u in found:
-                    if 8 <= len(u) <= 400:
-                        key = unit_key(u)
-                        h = xxhash.xxh64_intdigest(key) >> 1
-                        seen.add((h, own, alone))
-                        if alone:
-                            shown[h] = key
-            rows = [(h, g, a, shown.get(h) if a else None, None, 1) for h, g, a in seen]
-            rows += [(None, None, None, None, n, c) for n, c in names.items()]
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int64())
-                cols = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "grp", "alone", "shown", "name", "n"])
-
-    schema = "key bigint, grp bigint, alone boolean, shown string, name string, n bigint"
+                if raw and not raw.isspace():
+                    counts.add(raw, title)
+            if rows := counts.rows():
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "key", "grp", "label", "shown", "n"])
+
+    schema = "kind tinyint, key bigint, grp bigint, label string, shown string, n bigint"
     rows = df.select(F.col(text).cast("string"), F.col(group).cast("string")).mapInArrow(kernel, schema)
-    # One pass over the texts, two questions: (group, unit) pairs and names travel as rows of one shuffle.
-    per = rows.groupBy("name", "key", "grp").agg(F.max("alone").alias("alone"), F.min("alone").alias("always"), F.max("shown").alias("shown"), F.sum("n").alias("n"))
-    folded = per.groupBy("name", "key").agg(
-        F.sum("n").alias("n"), F.count("*").alias("groups"), F.count_if("alone").alias("alone"), F.max("shown").alias("shown")
-    )
-    page = F.col("name").isNull() & (F.col("alone") >= PAGE_GROUPS) & (F.col("alone") >= PAGE_SHARE * F.col("groups"))
-    kept = folded.where((F.col("name").isNotNull() & (F.col("n") >= 2)) | page)
-    top = kept.select("name", "shown").limit(2 * KEPT + 1).collect()
-    if len(top) > 2 * KEPT:
-        raise ValueError(f"more than {2 * KEPT} slot names and page templates in the corpus; raise residue.KEPT")
-    return frozenset(r["name"] for r in top if r["name"]), frozenset(r["shown"] for r in top if r["shown"])
-
-
-def verdict(text: str, names: frozenset[str], pages: frozenset[str]) -> str | None:
-    """Why the text is residue: "slot", "filler" or "page"; None if it isn't."""
-    if not text or text.isspace():
-        return None
-    text = plain(text)
-    if _SLOTTY.search(text):
+    # One pass over the texts, several questions: their rows travel in one shuffle, added up before it.
+    per = cut(rows.groupBy("kind", "key", "grp", "label").agg(F.sum("n").alias("n"), F.max("shown").alias("shown")))
+    names = per.where("kind = 3").groupBy("key").agg(F.max("shown").alias("shown"), F.collect_list(F.struct("label", "n")).alias("uses"), F.sum("n").alias("n"))
+    held = per.where("kind = 4").groupBy("key").agg(
+        F.sum(F.when(F.col("label").isNull(), F.col("n")).otherwise(0)).alias("plain"),
+        F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n"))).alias("uses"),
+    ).where(F.size("uses") > 0)
+    public = F.exists("uses", lambda u: u["label"] == PUBLIC)
+    named = names.select(F.inline("uses"), public.alias("public")).select("label", F.lit(0).alias("held"), F.lit(0).alias("framed"), F.when(F.col("public"), F.col("n")).otherwise(0).alias("named"), "n")
+    placed = held.select(F.inline("uses"), "plain").select("label", F.when(F.col("plain") > 0, F.col("n")).otherwise(0).alias("held"), F.col("n").alias("framed"), F.lit(0).alias("named"), F.lit(0).alias("n"))
+    sums = named.unionByName(placed).groupBy("label").agg(*(F.sum(c).alias(c) for c in ("held", "framed", "named", "n")))
+    shows = sums.where((F.col("held") >= HELD) & (F.col("held") >= HELD_SHARE * F.col("framed")) & (F.col("named") >= NAMED_SHARE * F.col("n")) & (F.col("label") != PUBLIC))
+    notations = [r["label"] for r in shows.limit(KEPT + 1).collect()]
+    used = F.filter("uses", lambda u: u["label"].isin(PUBLIC, *notations))
+    kept_names = names.where((F.size(used) > 0) & (F.col("n") >= 2)).select(F.lit("names").alias("what"), "shown", F.lit(None).cast("bigint").alias("key"))
+    in_slot = F.aggregate(used, F.lit(0).cast("bigint"), lambda a, u: a + u["n"])
+    kept_slots = held.where((F.col("plain") >= SLOT_RECORDS) & (in_slot >= SLOT_RECORDS)).select(F.lit("slots").alias("what"), F.lit(None).cast("string").alias("shown"), "key")
+    by_unit = per.where("kind <= 2").groupBy("key").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("n"), F.count_if(F.col("kind") == 1).alias("pages"),
+        F.count_if(F.col("kind") == 2).alias("numbered"), F.max("shown").alias("shown"),
+    )
+    page = (F.col("pages") >= PAGE_GROUPS) & (F.col("pages") >= PAGE_SHARE * F.col("n"))
+    caption = (F.col("numbered") >= DUMMY_GROUPS) & (F.col("numbered") >= DUMMY_SHARE * F.col("n"))
+    kept_units = by_unit.where(page | caption).select(F.when(page, "pages").otherwise("captions").alias("what"), "shown", F.lit(None).cast("bigint").alias("key"))
+    found = kept_names.unionByName(kept_slots).unionByName(kept_units).limit(KEPT + 1).collect()
+    if len(found) + len(notations) > KEPT:
+        raise ValueError(f"more than {KEPT} slot names, slots and templates in the corpus; raise residue.KEPT")
+    of = lambda what: frozenset(r["shown"] for r in found if r["what"] == what)
+    return Learnt(of("names"), frozenset(notations), frozenset(r["key"] for r in found if r["what"] == "slots"), of("pages"), of("captions"))
+
+
+class Reader:
+    """Judges records by what was learnt."""
+
+    def __init__(self, learnt: Learnt) -> None:
+        self.learnt = learnt
+        self.judge = Judge(learnt.pages, learnt.captions)
+
+    def _open_slot(self, text: str) -> bool:
+        """Whether a name or an instruction of a template was left in the text."""
         if slots(text):
-            return "slot"
+            return True
+        names, notations = self.learnt.names, self.learnt.notations
+        if notations and any(label in notations for label, _, _, _ in marks(text)):
+            return True
         for content, angle in brackets(text):
             name = fold_name(content)
             if len(name) > 2 and (name in names or FILL_IN.search(content) or (angle and " " in content.strip())):
-                return "slot"
-    cues, after, _ = units(text)
-    cues = [c for c in cues if c]
-    if mostly_filler(cues):
-        return "filler"
-
-    def message(unit: str) -> bool:
-        return unit_key(unit) in pages or is_message(unit)
-
-    if any(message(u) or any(map(is_message, u.split("\n"))) for u in after):
-        return "page"
-    # Bare markup between the messages doesn't count.
-    said = [c for c in cues if any(map(str.isalpha, letters(c)))]
-    other = 0
-    for c in said:
-        if not message(c):
-            other += 1
-            if 2 * other > len(said):
-                break
-    else:
-        if said:
+                return True
+        return False
+
+    def _unfilled(self, unit: str, last: bool) -> bool:
+        """Whether a known slot of the unit's template holds a default, or nothing; at the end of a text it may be torn."""
+        words = unit.lower().split()
+        n = len(words)
+        if n < 4 or n > 8 or not (n == 4 or n == 5 or not DEFAULTS.isdisjoint(words)):
+            return False
+        inner, head = frames([*words[:2], "", *words[-2:]])[0], frames([*words[:4], ""])[1]
+        empty = n == 4 or DEFAULTS.issuperset(words[2:-2])
+        return (empty and inner in self.learnt.slots) or (n > 4 and DEFAULTS.issuperset(words[4:]) or n == 4 and not last) and head in self.learnt.slots
+
+    def verdict(self, text: str | None) -> str | None:
+        """Why the text is residue: "slot", "filler" or "page"; None if it isn't."""
+        if not text or text.isspace():
+            return None
+        text = plain(text)
+        if _SLOTTY.search(text) and self._open_slot(text):
+            return "slot"
+        cues, after, timed = units(text)
+        cues = [c for c in cues if c]
+        if self.learnt.slots and any(self._unfilled(c, c is cues[-1]) for c in cues):
+            return "slot"
+        if cues and _most(self.judge.filler, cues):
+            return "filler"
+        message, alone = self.judge.message, self.judge.message_alone
+        if any(alone(u) or ("\n" in u and any(map(message, u.split("\n")))) for u in after):
+            return "page"
+        # Bare markup between the messages doesn't count.
+        said = [c for c in cues if any(map(str.isalpha, letters(c)))]
+        if said and _most(message if timed else alone, said, half=True):
             return "page"
-    last = cues[-1] if cues else ""
-    return "page" if last and (message(last) or message(last.rsplit("\n", 1)[-1])) else None
+        last = cues[-1] if cues else ""
+        return "page" if last and (message(last) or ("\n" in last and message(last.rsplit("\n", 1)[-1]))) else None
+
+
+def _most(test: Callable[[str], bool], cues: list[str], half: bool = False) -> bool:
+    """Whether the test holds for more than half of the cues, or for half of them."""
+    allowed = len(cues) // 2 if half else (len(cues) - 1) // 2
+    for c in cues:
+        if not test(c):
+            allowed -= 1
+            if allowed < 0:
+                return False
+    return True
 
 
 def residue(df: DataFrame, key: str, text: str, group: str) -> DataFrame:
@@ -488,24 +434,26 @@ def residue(df: DataFrame, key: str, text: str, group: str) -> DataFrame:
     are judged alike. group is what a record belongs to (a title): a page template must occur under several of them.
     Other columns are ignored.
     """
-    names, pages = learn(df, text, group)
+    learnt = learn(df, text, group)
     kind = df.schema[key].dataType.simpleString()
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(learnt)
         for b in batches:
-            found = [verdict(t, names, pages) if t else None for t in b.column(1).to_pylist()]
+            found = [reader.verdict(t) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(found, pa.string())], names=["_key", "residue"])
 
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(kernel, f"_key {kind}, residue string").withColumnRenamed("_key", key)
+    return df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(kernel, f"_key {kind}, residue string").withColumnRenamed("_key", key)
 
 
 def without_residue(df: DataFrame, text: str, group: str) -> DataFrame:
     """The rows of df, with all their columns, whose text is no residue."""
-    names, pages = learn(df, text, group)
+    learnt = learn(df, text, group)
     at = df.columns.index(text)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(learnt)
         for b in batches:
-            yield b.filter(pa.array([not t or verdict(t, names, pages) is None for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([reader.verdict(t) is None for t in b.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(kernel, df.schema)

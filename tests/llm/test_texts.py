@@ -155,11 +155,20 @@ PAGE = [
 ]
 
 
+#: As a corpus teaches it, see test_slots_are_induced and test_learnt_from_the_corpus.
+LEARNT = R.Learnt(
+    names=frozenset(["title"]), notations=frozenset(["@@…@@", "<<…>>", "{{…}} ", "{#:…}"]),
+    pages=frozenset(["désolé, la page demandée est introuvable.", "włącz obsługę javascript, aby zobaczyć napisy.", "страница не найдена. ошибка #.",
+                     "this file has been removed at the request of the uploader.", "ative o javascript para continuar.", "please enable javascript to view the subtitles."]),
+    captions=frozenset(["votre sous-titre ici", "sample text for line #"]),
+)
+
+
 def test_verdicts():
-    names = frozenset(["title"])
+    reader = R.Reader(LEARNT)
     for texts, kind in ((NOT, None), (SLOT, "slot"), (FILLER, "filler"), (PAGE, "page")):
         for t in texts:
-            assert R.verdict(t, names, frozenset()) == kind, t
+            assert reader.verdict(t) == kind, t
 
 
 def test_learnt_from_the_corpus(spark, monkeypatch):
@@ -177,12 +186,13 @@ def test_learnt_from_the_corpus(spark, monkeypatch):
 
 
 def test_a_few_filler_cues_are_no_case():
-    assert not R.mostly_filler(["asdf", "qwer", *TALK]) and not R.mostly_filler([]) and not R.mostly_filler(["asdf", TALK[0]])
+    few = R.Reader(R.Learnt())
+    assert few.verdict(_cue("asdf", "qwer", *TALK)) is None and few.verdict(_cue("asdf", TALK[0])) is None
 
 
 @pytest.mark.parametrize("piece", [" ", "\n", "\t \n", "x", "1", "a1", ".", "{", "{{", "<", "[a", "%a", "$a", "__", "@@", "Ã©", "00:00:01,000 --> ", "qwer ", "404 ", "<b>", "&#123;", "\u0600"])
 def test_very_long_texts(piece):
     began = time.perf_counter()
-    R.verdict(piece * (300_000 // len(piece)), frozenset(["title"]), frozenset())
-    R.names_shown(R.plain(piece * (300_000 // len(piece))))
+    R.Reader(LEARNT).verdict(piece * (300_000 // len(piece)))
+    R._Counts().add(piece * (300_000 // len(piece)), "t")
     assert time.perf_counter() - began < 10
