@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+
+import xxhash
 
 # --- Fixed values: public lists ---------------------------------------------------------------------------------------
 #: Reason phrases of HTTP.
@@ -178,12 +180,17 @@ def misread(text: str) -> list[str]:
 
 # --- Lexicon ----------------------------------------------------------------------------------------------------------
 THING, STATE, SCRIPT, SWITCH, SAID, DUMMY, GOES = 1, 2, 4, 8, 16, 32, 64
+MESSAGE_WORDS, DUMMY_TEXT = THING | STATE | SCRIPT | SWITCH | SAID, DUMMY | GOES
 #: A unit is a message from this share of the letters of its words of weight on; less will do where it stands alone in a text's place.
 KNOWN_WORDS, KNOWN_ALONE = 0.72, 0.5
 _ASIAN = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _ASIAN_RUN = re.compile(r"[぀-ヿ㐀-鿿가-힯々ー]+|[^\W_぀-ヿ㐀-鿿가-힯々ー]+")
 _TOKEN = re.compile(r"[^\W_]+(?:['’`][^\W_]+)*")
-
+_WORD = re.compile(r"[^\W_]+[;]?")
+#: Words that lie along a row of keys, either way.
+TYPED = frozenset(w for row in ROWS for way in (row, row[::-1]) for a in range(len(row)) for z in range(a + 3, len(row) + 1) if (w := way[a:z]))
+#: What follows a point within an address.
+_ADDRESS = re.compile(r"(?:(?<=\S)\.(?=\S)|\s\.\s|\W?\bdot\b\W?\s?)\w+")
 
 #: Words that negate; by themselves they tell no state.
 NEGATIONS = (
@@ -191,8 +198,24 @@ NEGATIONS = (
 )
 
 
+#: What is counted in a text, in one number: so many bits for each count, and the words' hashes above them.
+_COUNTS = ("weight", "said", "dummy", "latin", "typed", "words", "things", "states", "scripts", "switches", "dummies")
+_BITS = 24
+_MASK = (1 << _BITS) - 1
+_AT = {name: _BITS * k for k, name in enumerate(_COUNTS)}
+_HASHES = _BITS * len(_COUNTS)
+
+
+def counted(told: int, name: str) -> int:
+    return told >> _AT[name] & _MASK
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) & 0xFFFFF
+
+
 class Lexicon(dict):
-    """What a word tells, by its beginning; short entries must be the whole word. Answers are remembered."""
+    """Counts what a token tells, by the beginnings of its words; short entries must be whole words. Answers are remembered."""
 
     LARGEST = 500_000
 
@@ -211,52 +234,59 @@ class Lexicon(dict):
             self.stems[fold(w)] = SAID
         self.longest = max(map(len, self.stems))
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        """(what the word tells, its letters of weight)."""
-        if len(self) >= self.LARGEST:
-            self.clear()
+    def word(self, word: str) -> tuple[int, int]:
+        """(what a word tells, its letters of weight)."""
         s = fold(word)
-        out = 0
-        whole = self.stems.get(s, 0)
+        out = self.stems.get(s, 0)
         for k in range(5, min(len(s), self.longest + 1)):
             out |= self.stems.get(s[:k], 0)
-        out |= whole
-        found = (out, len(s) if len(s) >= 4 or out else 0)
-        if len(word) <= 64:
-            self[word] = found
+        return out, len(s) if len(s) >= 4 or out else 0
+
+    def _parts(self, token: str) -> Iterator[tuple[int, int, int, int]]:
+        """(what it tells, letters of weight, of these known to messages, known to dummy text) of a token's words."""
+        for w in _TOKEN.findall(token):
+            if w.isascii() or not _ASIAN.search(w):
+                what, n = self.word(w)
+                yield what, n, n if what & MESSAGE_WORDS else 0, n if what & DUMMY_TEXT else 0
+                continue
+            for run in _ASIAN_RUN.findall(w):
+                if not _ASIAN.match(run):
+                    what, n = self.word(run)
+                    yield what, n, n if what & MESSAGE_WORDS else 0, n if what & DUMMY_TEXT else 0
+                    continue
+                told = said = dummy = 0
+                for stem, what in self.asian.items():
+                    if stem in run:
+                        told |= what
+                        said += len(stem) if what & MESSAGE_WORDS else 0
+                        dummy += len(stem) if what & DUMMY_TEXT else 0
+                # Endings of Japanese and Korean words are not listed: half of the letters will do.
+                yield told, len(run), min(len(run), 2 * said), min(len(run), 2 * dummy)
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.LARGEST:
+            self.clear()
+        counts = dict.fromkeys(_COUNTS, 0)
+        for what, n, said, dummy in self._parts(token):
+            counts["weight"] += n
+            counts["said"] += said
+            counts["dummy"] += dummy
+            for bit, name in ((THING, "things"), (STATE, "states"), (SCRIPT, "scripts"), (SWITCH, "switches"), (DUMMY, "dummies")):
+                counts[name] += bool(what & bit)
+        if counts["dummies"] and _ADDRESS.search(token):
+            counts["dummies"] = 0
+        words = _WORD.findall(token.lower())
+        counts["words"] = len(words)
+        counts["latin"] = sum(w in LATIN for w in words)
+        counts["typed"] = sum(w in TYPED for w in words)
+        found = sum(min(n, _MASK) << _AT[name] for name, n in counts.items()) + (sum(map(_hash, words)) << _HASHES)
+        if len(token) <= 64:
+            self[token] = found
         return found
 
-    def weigh(self, text: str) -> tuple[int, int, int, int]:
-        """(what all words tell, letters of weight, of these known to messages, known to dummy text)."""
-        told = total = said = dummy = 0
-        for w in _TOKEN.findall(text):
-            if not w.isascii() and _ASIAN.search(w):
-                for run in _ASIAN_RUN.findall(w):
-                    if not _ASIAN.match(run):
-                        what, n = self[run]
-                        told, total = told | what, total + n
-                        said += n if what & (THING | STATE | SCRIPT | SWITCH | SAID) else 0
-                        continue
-                    total += len(run)
-                    covered = [0, 0]
-                    for stem, what in self.asian.items():
-                        if stem in run:
-                            told |= what
-                            covered[0] += len(stem) if what & ~(DUMMY | GOES) else 0
-                            covered[1] += len(stem) if what & (DUMMY | GOES) else 0
-                    # Endings of Japanese and Korean words are not listed: half of the letters will do.
-                    said += min(len(run), 2 * covered[0])
-                    dummy += min(len(run), 2 * covered[1])
-                continue
-            what, n = self[w]
-            if n:
-                told |= what
-                total += n
-                if what & (THING | STATE | SCRIPT | SWITCH | SAID):
-                    said += n
-                if what & (DUMMY | GOES):
-                    dummy += n
-        return told, total, said, dummy
+    def weigh(self, text: str) -> int:
+        """All counts of a text, in one number."""
+        return sum(map(self.__getitem__, text.split()))
 
 
 LEXICON = Lexicon()
@@ -271,23 +301,21 @@ def joined(text: str) -> str:
     return text
 
 
-def says_failure(text: str) -> float:
+def says_failure(told: int, text: str) -> float:
     """The share of letters of weight that belong to messages, if the words tell that something failed, or that scripts are required; else 0."""
-    told, total, said, _ = LEXICON.weigh(text)
-    about = (told & THING and told & STATE) or (told & SCRIPT and told & (SWITCH | STATE))
-    return said / total if about and total >= 8 and not text.rstrip().endswith(("?", "？", "؟")) else 0.0
-
-
-#: What follows a point within an address.
-_ADDRESS = re.compile(r"(?:(?<=\S)\.(?=\S)|\s\.\s|\W?\bdot\b\W?\s?)\w+")
+    about = (counted(told, "things") and counted(told, "states")) or (counted(told, "scripts") and (counted(told, "switches") or counted(told, "states")))
+    if not about or counted(told, "weight") < 8 or text.rstrip().endswith(("?", "？", "؟")):
+        return 0.0
+    return counted(told, "said") / counted(told, "weight")
 
 
-def says_dummy(text: str) -> bool:
+def says_dummy(told: int, text: str) -> bool:
     """Whether the words say that this is dummy text; the ends of addresses (".example") don't count."""
-    told, total, _, dummy = LEXICON.weigh(text)
-    if told & DUMMY and _ADDRESS.search(text):
-        told, total, _, dummy = LEXICON.weigh(_ADDRESS.sub(" ", text))
-    return bool(told & DUMMY) and dummy >= KNOWN_WORDS * total
+    if not counted(told, "dummies"):
+        return False
+    if _ADDRESS.search(text):
+        told = LEXICON.weigh(_ADDRESS.sub(" ", text))
+    return bool(counted(told, "dummies")) and counted(told, "dummy") >= KNOWN_WORDS * counted(told, "weight")
 
 
 # --- Phrases ----------------------------------------------------------------------------------------------------------
@@ -330,9 +358,6 @@ MARKUP = re.compile(r"(?i)^\W*(?:<\W{0,2}(?:html|!?doctype|.?xml|error|title|div
 BETWEEN = re.compile(r"<[^<>]{0,200}>|\W{0,3}\w+[\"”“?�\u0080-\u009f]{0,3}\s?:\s?(?=[\"”“?�\u0080-\u009f{\w])|[\n{}\"”“]")
 _TAG = re.compile(r"<[^<>\n]{0,200}>")
 _CODES = re.compile(r"\{[\\yY][^{}]*\}")
-_WORD = re.compile(r"[^\W_]+[;]?")
-#: Words that lie along a row of keys, either way.
-TYPED = frozenset(w for row in ROWS for way in (row, row[::-1]) for a in range(len(row)) for z in range(a + 3, len(row) + 1) if (w := way[a:z]))
 
 
 def letters(unit: str) -> str:
@@ -363,7 +388,8 @@ class Judge:
             body = letters(unit).strip()
             skel = skeleton(body)
             own = [skel[k : k + GRAM] for k in range(len(skel) - GRAM + 1)]
-            found = (self._message(unit, body, skel, own), self._filler(body, skel, own))
+            told = LEXICON.weigh(body)
+            found = (self._message(unit, body, skel, own, told), self._filler(body, skel, own, told))
             if len(unit) <= 1000:
                 self.seen[unit] = found
         return found
@@ -378,28 +404,30 @@ class Judge:
     def filler(self, unit: str) -> bool:
         return self.look(unit)[1]
 
-    def _message(self, unit: str, body: str, skel: str, own: list[str]) -> float:
+    def _message(self, unit: str, body: str, skel: str, own: list[str], told: int) -> float:
         if skel in self.short:
             return float(bool(skel))
         if len(skel) >= LETTERS and self.pages.covered(own, len(skel)) >= COVER:
             return 1.0
         if len(body) <= 100 and (m := _STATUS_LINE.match(body)) and skeleton(m.group(1)) in self.short:
             return 1.0
-        if MARKUP.match(unit):
+        if ("<" in unit or "{" in unit) and MARKUP.match(unit):
             return max((self.look(part)[0] for part in BETWEEN.split(unit) if len(part) > 3 and part != unit), default=0.0)
-        return says_failure(joined(body)) if len(skel) >= GRAM else 0.0
+        if len(skel) < GRAM:
+            return 0.0
+        if len(body) < 3 * body.count(" ") and (again := joined(body)) != body:
+            told = LEXICON.weigh(again)
+        return says_failure(told, body)
 
-    def _filler(self, text: str, skel: str, own: list[str]) -> bool:
+    def _filler(self, text: str, skel: str, own: list[str], told: int) -> bool:
         """Dummy captions, dummy Latin, keyboard noise, or one word again and again."""
-        words = _WORD.findall(text.lower())
-        if not words:
+        n = counted(told, "words")
+        if not n:
             return False
-        if not LATIN.isdisjoint(words) and sum(w in LATIN for w in words) >= 0.6 * len(words):
-            return True
-        if not TYPED.isdisjoint(words) and sum(w in TYPED for w in words) >= 0.6 * len(words):
+        if counted(told, "latin") >= 0.6 * n or counted(told, "typed") >= 0.6 * n:
             return True
-        if len(words) >= 2 and len(set(words)) == 1 and not text.startswith(("[", "(", "*", "#", "♪")):
+        if n >= 2 and (told >> _HASHES) % n == 0 and len(set(_WORD.findall(text.lower()))) == 1 and not text.startswith(("[", "(", "*", "#", "♪")):
             return True
         if len(skel) >= GRAM and self.dummies.covered(own, len(skel)) >= COVER:
             return True
-        return says_dummy(text)
+        return says_dummy(told, text)

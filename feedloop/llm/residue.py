@@ -15,6 +15,7 @@ What is learnt is small (it counts templates, not records); public lists and a l
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 import unicodedata
@@ -72,7 +73,15 @@ _CODE = re.compile(r"^(?:an?\d{1,2}|[ibus][01]|fs\d+|pos|fad|k\d+)$")
 
 
 _SPOILT = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
-_BYTES = {chr(k): k for k in range(256)} | {bytes([k]).decode("cp1252"): k for k in range(128, 160) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _as_bytes(e: UnicodeError) -> tuple[bytes, int]:
+    """Characters outside the one-byte encoding: as their own byte if they are one, else as UTF-8."""
+    out = b"".join(bytes((ord(c),)) if ord(c) < 256 else c.encode("utf-8", "ignore") for c in e.object[e.start : e.end])
+    return out, e.end
+
+
+codecs.register_error("feedloop-bytes", _as_bytes)
 
 
 def repair(text: str) -> str:
@@ -80,14 +89,16 @@ def repair(text: str) -> str:
     for _ in range(2):
         if not _SPOILT.search(text):
             break
-        raw = b"".join(bytes((_BYTES[c],)) if c in _BYTES else c.encode("utf-8", "ignore") for c in text)
-        better = raw.decode("utf-8", "ignore")
+        better = text.encode("cp1252", "feedloop-bytes").decode("utf-8", "ignore")
         if len(better) > 0.97 * len(text) and len(_SPOILT.findall(better)) >= len(_SPOILT.findall(text)):
             break
         text = better
     return text
 
 
+_WIDENED = re.compile("[＃｛［＜％＄＠＿]")
+
+
 def plain(text: str) -> str:
     """The text with encodings set right, character references resolved and widened letters narrowed."""
     if "&" in text:
@@ -96,7 +107,7 @@ def plain(text: str) -> str:
             text = html.unescape(text)
     if not text.isascii():
         text = repair(text)
-        if any(c in text for c in "＃｛［＜％＄＠＿"):
+        if _WIDENED.search(text):
             text = unicodedata.normalize("NFKC", text)
     return text
 
@@ -136,12 +147,12 @@ def names_shown(text: str) -> list[str]:
     return [n for n in out if len(n) > 2]
 
 
-_EDGE = r"(?:[^\w\s.,!?'’\"“”…:;¿¡\-–—&/\\]|_)"
+_EDGE = r"[{}\[\]<>()%$@#_~^|*«»§=+`]"
 #: A name between marks of any kind, as one token.
 MARK = re.compile(rf"({_EDGE}{{1,4}}(?: [{{\[<(])?[=#/%]?\s?(?:\d{{1,3}}:\s?)?)([^\W\d_](?:[\w.\-]{{0,48}}[^\W_])?(?:\[\d+\])?)(\s?{_EDGE}{{1,4}}(?: [}}\]>)])?)")
 _EDGED = re.compile(_EDGE)
 #: What stands in a slot that was filled with nothing.
-DEFAULTS = frozenset("undefined null none nil nan n/a tbd tba xxx ??? ... ___ ____ -- [] {} () <> % $".split())
+DEFAULTS = frozenset("undefined null none nil nan n/a tbd tba xxx ??? ___ ____ [] {} () <>".split())
 #: The label of names that public template languages show.
 PUBLIC = "public"
 
@@ -162,29 +173,54 @@ def marks(text: str) -> Iterator[tuple[str, str, int, int]]:
 # --- Units ------------------------------------------------------------------------------------------------------------
 _CLOCK = r"\d{1,3}[:.]\d{2}(?:[:.,;]\d{1,3}){0,3}"
 _GAP = r"[^\S\n]{0,8}"
-TIMES = re.compile(rf"(?m)^{_GAP}(?:\d{{1,9}}{_GAP}\n)?{_GAP}\W{{0,3}}{_CLOCK}{_GAP}[-–—=>→<,~ ]{{1,8}}{_GAP}{_CLOCK}[^\n]*$")
+#: Two clock times; a digit comes first so that the search skips quickly to digits.
+_SPAN = re.compile(rf"\d\d{{0,2}}[:.]\d{{2}}(?:[:.,;]\d{{1,3}}){{0,3}}{_GAP}[-–—=>→<,~ ]{{1,8}}{_GAP}{_CLOCK}[^\n]*")
+_BEFORE = re.compile(rf"{_GAP}\W{{0,3}}")
+_ALONE = re.compile(rf"{_GAP}\d{{1,9}}{_GAP}")
+
+
+def times(text: str) -> list[tuple[int, int]]:
+    """Where the lines of times begin and end, each with the line of its number, if there is one."""
+    out: list[tuple[int, int]] = []
+    for m in _SPAN.finditer(text):
+        at = m.start()
+        line = text.rfind("\n", 0, at) + 1
+        if line != at and not _BEFORE.fullmatch(text, line, at):
+            continue
+        if line:
+            before = text.rfind("\n", 0, line - 1) + 1
+            if line - before <= 26 and _ALONE.fullmatch(text, before, line - 1) and (not out or before >= out[-1][1]):
+                line = before
+        out.append((line, m.end()))
+    return out
+
+
 _NUMBER_LINE = re.compile(r"^\W*\d{1,6}\W*$")
 
 
 def units(text: str) -> tuple[list[str], list[str], bool]:
     """(cues, what follows the last cue after an empty line or a page's tag, whether there are times)."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    marks = list(TIMES.finditer(text))
-    if not marks:
+    return _units(text, times(text))
+
+
+def _units(text: str, spans: list[tuple[int, int]]) -> tuple[list[str], list[str], bool]:
+    if not spans:
         blocks = [b.strip() for b in re.split(r"\n[^\S\n]*\n", text) if b.strip()]
         if len(blocks) == 1:
             blocks = [line.strip() for line in blocks[0].split("\n") if line.strip()]
         return blocks, [], False
     cues: list[str] = []
     after: list[str] = []
-    for k, m in enumerate(marks):
-        body = text[m.end() : marks[k + 1].start() if k + 1 < len(marks) else len(text)].strip("\n")
-        if k + 1 == len(marks):
+    for k, (_, end) in enumerate(spans):
+        body = text[end : spans[k + 1][0] if k + 1 < len(spans) else len(text)].strip("\n")
+        if k + 1 == len(spans):
             parts = [p.strip() for p in re.split(r"\n[^\S\n]*\n", body)]
             after = [p for p in parts[1:] if p]
             body = parts[0]
-        lines = [line for line in body.split("\n") if line.strip() and not _NUMBER_LINE.match(line)]
-        cues.append("\n".join(lines).strip())
+        if "\n" in body or body.isdigit():
+            body = "\n".join(line for line in body.split("\n") if line.strip() and not _NUMBER_LINE.match(line))
+        cues.append(body.strip())
     return cues, after, True
 
 
@@ -262,22 +298,26 @@ class _Counts:
         self.numbered: dict[tuple[int, int], str] = {}
 
     def add(self, raw: str, title: str | None) -> None:
-        text = plain(raw)
-        cues, after, timed = units(text)
+        text = plain(raw).replace("\r\n", "\n").replace("\r", "\n")
+        spans = times(text)
+        cues, after, timed = _units(text, spans)
         every = [*cues, *after]
         slotty = _SLOTTY.search(text) is not None
         if slotty:
             self.names.update({(n, PUBLIC) for n in names_shown(text)} | {(name, label) for label, name, _, _ in marks(text)})
+        marked = slotty and next(marks(text), None) is not None
         keys: dict[str, str] = {}
+        framed = self.frames
         for u in every:
             if u and u not in keys:
-                keys[u] = unit_key(u)
-                found = next(marks(u), None) if slotty and _EDGED.search(u) else None
+                keys[u] = key = unit_key(u)
+                found = next(marks(u), None) if marked and _EDGED.search(u) else None
                 if found is None:
-                    self.frames.update([(f, None) for f in frames(u.lower().split())])
+                    for f in frames(key.split(" ")):
+                        framed[f, None] = framed.get((f, None), 0) + 1
                 else:
                     label, _, start, end = found
-                    left, right = u[:start].lower().split(), u[end:].lower().split()
+                    left, right = unit_key(u[:start]).split(), unit_key(u[end:]).split()
                     if len(left) >= 2 and len(right) >= 2:
                         self.frames[frames([*left, "", *right])[0], label] += 1
                     if len(left) >= 4 and not right:
@@ -285,7 +325,7 @@ class _Counts:
         said = {hashed(k) for k in keys.values()}
         if timed:  # what stands before the first cue, and the lines of a cue, are no page either
             said.update(hashed(unit_key(line)) for u in cues if "\n" in u for line in u.split("\n"))
-            said.update(hashed(unit_key(line)) for line in text[: TIMES.search(text).start()].split("\n"))
+            said.update(hashed(unit_key(line)) for line in text[: spans[0][0]].split("\n"))
         self.cues.update(said)
         if title is None or (slotty and slots(text)):  # a template with open slots is no page
             return
@@ -384,9 +424,9 @@ class Reader:
 
     def _unfilled(self, unit: str, last: bool) -> bool:
         """Whether a known slot of the unit's template holds a default, or nothing; at the end of a text it may be torn."""
-        words = unit.lower().split()
+        words = unit_key(unit).split(" ")
         n = len(words)
-        if n < 4 or n > 8 or not (n == 4 or n == 5 or not DEFAULTS.isdisjoint(words)):
+        if n != 4 and DEFAULTS.isdisjoint(words) or n < 4:
             return False
         inner, head = frames([*words[:2], "", *words[-2:]])[0], frames([*words[:4], ""])[1]
         empty = n == 4 or DEFAULTS.issuperset(words[2:-2])
@@ -401,15 +441,18 @@ class Reader:
             return "slot"
         cues, after, timed = units(text)
         cues = [c for c in cues if c]
-        if self.learnt.slots and any(self._unfilled(c, c is cues[-1]) for c in cues):
-            return "slot"
+        if self.learnt.slots and cues:
+            lower = text.lower()
+            defaults = any(word in lower for word in DEFAULTS)
+            if any((defaults or c.count(" ") + c.count("\n") == 3) and self._unfilled(c, c is cues[-1]) for c in cues):
+                return "slot"
         if cues and _most(self.judge.filler, cues):
             return "filler"
         message, alone = self.judge.message, self.judge.message_alone
         if any(alone(u) or ("\n" in u and any(map(message, u.split("\n")))) for u in after):
             return "page"
         # Bare markup between the messages doesn't count.
-        said = [c for c in cues if any(map(str.isalpha, letters(c)))]
+        said = [c for c in cues if c[0].isalpha() or any(map(str.isalpha, letters(c)))]
         if said and _most(message if timed else alone, said, half=True):
             return "page"
         last = cues[-1] if cues else ""
