@@ -140,9 +140,9 @@ def brackets(text: str) -> Iterator[tuple[str, bool]]:
             yield angle, True
 
 
-def names_shown(text: str) -> list[str]:
-    """Folded names that the text shows to be slots: in template notations, or in angle brackets of several words."""
-    out = [fold_name(n) for n in slots(text)]
+def names_shown(text: str, found: list[str]) -> list[str]:
+    """Folded names that the text shows to be slots: those found in template notations, or in angle brackets of several words."""
+    out = [fold_name(n) for n in found]
     out += [fold_name(b) for b, angle in brackets(text) if (angle and re.search(r"[^\W\d_]{2}[\s_.][^\W\d_]", b)) or FILL_IN.search(b)]
     return [n for n in out if len(n) > 2]
 
@@ -296,25 +296,32 @@ class _Counts:
         self.names: Counter[tuple[str, str]] = Counter()
         self.pages: dict[tuple[int, int], str] = {}
         self.numbered: dict[tuple[int, int], str] = {}
+        self.memo: dict[str, tuple[int, tuple[tuple[int, None], ...]]] = {}
 
     def add(self, raw: str, title: str | None) -> None:
         text = plain(raw).replace("\r\n", "\n").replace("\r", "\n")
         spans = times(text)
         cues, after, timed = _units(text, spans)
         every = [*cues, *after]
-        slotty = _SLOTTY.search(text) is not None
-        if slotty:
-            self.names.update({(n, PUBLIC) for n in names_shown(text)} | {(name, label) for label, name, _, _ in marks(text)})
-        marked = slotty and next(marks(text), None) is not None
-        keys: dict[str, str] = {}
-        framed = self.frames
-        for u in every:
-            if u and u not in keys:
-                keys[u] = key = unit_key(u)
+        marked: list[tuple[str, str]] = []
+        open_slots: list[str] = []
+        if _SLOTTY.search(text):
+            open_slots = slots(text)
+            marked = [(name, label) for label, name, _, _ in marks(text)]
+            self.names.update({(n, PUBLIC) for n in names_shown(text, open_slots)}.union(marked))
+        said: set[int] = set()
+        framed, memo = self.frames, self.memo
+        for u in dict.fromkeys(every):
+            if u:
+                known = memo.get(u)
+                if known is None:
+                    key = unit_key(u)
+                    known = memo[u] = (hashed(key), tuple((f, None) for f in frames(key.split(" "))))
+                said.add(known[0])
                 found = next(marks(u), None) if marked and _EDGED.search(u) else None
                 if found is None:
-                    for f in frames(key.split(" ")):
-                        framed[f, None] = framed.get((f, None), 0) + 1
+                    for f in known[1]:
+                        framed[f] = framed.get(f, 0) + 1
                 else:
                     label, _, start, end = found
                     left, right = unit_key(u[:start]).split(), unit_key(u[end:]).split()
@@ -322,12 +329,15 @@ class _Counts:
                         self.frames[frames([*left, "", *right])[0], label] += 1
                     if len(left) >= 4 and not right:
                         self.frames[frames([*left, ""])[1], label] += 1
-        said = {hashed(k) for k in keys.values()}
         if timed:  # what stands before the first cue, and the lines of a cue, are no page either
-            said.update(hashed(unit_key(line)) for u in cues if "\n" in u for line in u.split("\n"))
+            for u in cues:
+                if "\n" in u:
+                    for line in u.split("\n"):
+                        known = memo.get(line)
+                        said.add(hashed(unit_key(line)) if known is None else known[0])
             said.update(hashed(unit_key(line)) for line in text[: spans[0][0]].split("\n"))
         self.cues.update(said)
-        if title is None or (slotty and slots(text)):  # a template with open slots is no page
+        if title is None or open_slots:  # a template with open slots is no page
             return
         own = hashed(title)
         for u in after if timed else every:
@@ -372,7 +382,7 @@ def learn(df: DataFrame, text: str, group: str) -> Learnt:
     schema = "kind tinyint, key bigint, grp bigint, label string, shown string, n bigint"
     rows = df.select(F.col(text).cast("string"), F.col(group).cast("string")).mapInArrow(kernel, schema)
     # One pass over the texts, several questions: their rows travel in one shuffle, added up before it.
-    per = cut(rows.groupBy("kind", "key", "grp", "label").agg(F.sum("n").alias("n"), F.max("shown").alias("shown")))
+    per = cut(rows.groupBy("kind", "key", "grp", "label", "shown").agg(F.sum("n").alias("n")))
     names = per.where("kind = 3").groupBy("key").agg(F.max("shown").alias("shown"), F.collect_list(F.struct("label", "n")).alias("uses"), F.sum("n").alias("n"))
     held = per.where("kind = 4").groupBy("key").agg(
         F.sum(F.when(F.col("label").isNull(), F.col("n")).otherwise(0)).alias("plain"),
