@@ -337,10 +337,10 @@ class Phrases:
                 self.where.setdefault(g, []).append(k)
         self.known = frozenset(self.where)
 
-    def covered(self, own: list[str], n: int) -> float:
-        """The share of n letters, whose sequences are given, that lie in sequences of texts that are mostly there."""
-        there_at_all = self.known.intersection(own)
-        if 2 * len(there_at_all) < FOUND * len(set(own)):
+    def covered(self, own: list[str], n: int, grams: frozenset[str]) -> float:
+        """The share of n letters, whose sequences are given (in order, and as a set), that lie in sequences of texts that are mostly there."""
+        there_at_all = self.known & grams
+        if 2 * len(there_at_all) < FOUND * len(grams):
             return 0.0
         hits = Counter(k for g in there_at_all for k in self.where[g])
         there = [self.grams[k] for k, c in hits.items() if c >= FOUND * len(self.grams[k])]
@@ -376,6 +376,7 @@ class Judge:
     def __init__(self, messages: Iterable[str] = (), captions: Iterable[str] = ()) -> None:
         self.pages = Phrases((*STATUS, *MESSAGES, *SCRIPTS, *messages))
         self.dummies = Phrases(captions)
+        self.known = self.pages.known | self.dummies.known
         self.short = frozenset(map(skeleton, (*STATUS, "Loading...", *messages)))
         self.seen: dict[str, tuple[float, bool]] = {}
 
@@ -389,7 +390,11 @@ class Judge:
             skel = skeleton(body)
             own = [skel[k : k + GRAM] for k in range(len(skel) - GRAM + 1)]
             told = LEXICON.weigh(body)
-            found = (self._message(unit, body, skel, own, told), self._filler(body, skel, own, told))
+            grams = frozenset(own)
+            pages = dummies = 0.0
+            if own and 2 * len(self.known & grams) >= FOUND * len(grams):
+                pages, dummies = self.pages.covered(own, len(skel), grams), self.dummies.covered(own, len(skel), grams)
+            found = (self._message(unit, body, skel, pages, told), dummies >= COVER or self._filler(body, told))
             if len(unit) <= 1000:
                 self.seen[unit] = found
         return found
@@ -404,10 +409,10 @@ class Judge:
     def filler(self, unit: str) -> bool:
         return self.look(unit)[1]
 
-    def _message(self, unit: str, body: str, skel: str, own: list[str], told: int) -> float:
+    def _message(self, unit: str, body: str, skel: str, covered: float, told: int) -> float:
         if skel in self.short:
             return float(bool(skel))
-        if len(skel) >= LETTERS and self.pages.covered(own, len(skel)) >= COVER:
+        if len(skel) >= LETTERS and covered >= COVER:
             return 1.0
         if len(body) <= 100 and (m := _STATUS_LINE.match(body)) and skeleton(m.group(1)) in self.short:
             return 1.0
@@ -419,8 +424,8 @@ class Judge:
             told = LEXICON.weigh(again)
         return says_failure(told, body)
 
-    def _filler(self, text: str, skel: str, own: list[str], told: int) -> bool:
-        """Dummy captions, dummy Latin, keyboard noise, or one word again and again."""
+    def _filler(self, text: str, told: int) -> bool:
+        """What says that it is dummy text, dummy Latin, keyboard noise, or one word again and again."""
         n = counted(told, "words")
         if not n:
             return False
@@ -428,6 +433,4 @@ class Judge:
             return True
         if n >= 2 and (told >> _HASHES) % n == 0 and len(set(_WORD.findall(text.lower()))) == 1 and not text.startswith(("[", "(", "*", "#", "♪")):
             return True
-        if len(skel) >= GRAM and self.dummies.covered(own, len(skel)) >= COVER:
-            return True
         return says_dummy(told, text)
