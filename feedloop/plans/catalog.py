@@ -9,4 +9,4 @@ from pyspark.sql import DataFrame, SparkSession
 from feedloop.plans import library, loops, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**library.QUERIES, **loops.QUERIES, **records.QUERIES}
-SQL: dict[str, str] = {**library.SQL, **records.SQL}
+SQL: dict[str, str] = {**library.SQL, **loops.SQL, **records.SQL}

@@ -40,8 +40,10 @@ class Policy:
         if len(items) < 2:
             return int(items[0]) if len(items) else -1
         s = np.nan_to_num(self.scores(user, items), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        if self.ties == "id":  # rounded, so that equal scores are equal in whatever order they were added up
+            return int(items[(s := np.round(s, 9)) == s.max()].min())
         best = items[s == s.max()]
-        return int(best.min() if self.ties == "id" or len(best) == 1 else self.rng.choice(best))
+        return int(best[0] if len(best) == 1 else self.rng.choice(best))
 
     def rank(self, user: int, items: np.ndarray, k: int) -> list[int]:
         """The k best, by score downwards; equal scores in the candidates' order."""

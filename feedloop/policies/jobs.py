@@ -1,8 +1,14 @@
-"""Runs as Spark jobs: one task for each (policy, seed), all runs side by side."""
+"""Runs as Spark jobs: one task for each (policy, seed), all runs side by side.
+
+A step of a run depends on the step before, so a run is one task. What it reads is written once to the shared checkpoint folder, and each
+run's task streams it from there: rows are neither multiplied by the runs, nor sent through the driver.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -11,58 +17,81 @@ from pyspark.sql import functions as F
 
 from feedloop.policies.loop import Ratings, replay, run
 from feedloop.policies.registry import Spec
+from feedloop.session import cut
 
-#: Ratings that a closed loop may hold in each task; more are refused, since every run needs them all at once.
-MOST_RATINGS = 5_000_000
+#: Ratings that a closed loop may hold in each task (16 bytes each); more are refused, since every run needs them all at once.
+MOST_RATINGS = 50_000_000
 RUN_SCHEMA = "run string, seed int, iter int, rank int, u int, i int, value double"
+#: Rows that a run gives out at a time.
+ROWS = 50_000
+
+
+def side_by_side(rows: DataFrame, specs: list[Spec], seeds: list[int], work: Callable, schema: str) -> DataFrame:
+    """The union of work(spec, seed) over the rows, which come sorted by their first column; every run in a task of its own."""
+    order = rows.columns[0]
+    once = cut(rows.orderBy(order))
+    one = once.coalesce(1).sortWithinPartitions(order)  # sorted parts: cheap to merge
+    parts = [one.mapInPandas(work(s, seed), schema) for s in specs for seed in seeds]
+    return reduce(DataFrame.unionAll, parts) if parts else rows.sparkSession.createDataFrame([], schema)
+
+
+def _given_out(rows: Iterator[tuple], columns: list[str], spec: Spec, seed: int) -> Iterator[pd.DataFrame]:
+    while some := list(islice(rows, ROWS)):
+        yield pd.DataFrame(some, columns=columns).assign(run=spec.name, seed=seed)[["run", "seed", *columns]]
 
 
 def simulate(ratings: DataFrame, specs: list[Spec], seeds: list[int], limit: float, n_users: int, n_items: int, threshold: float = 0.5, ties: str = "random", **how) -> DataFrame:
-    """``(run, seed, iter, rank, u, i, value)`` of every policy with every seed. ratings: ``(u, i, r[, known])`` over
-    codes. A step depends on the step before, so a run is one task; runs are spread over the cluster."""
+    """``(run, seed, iter, rank, u, i, value)`` of every policy with every seed. ratings: ``(u, i, r[, known])`` over codes."""
     n = ratings.count()
     if n > MOST_RATINGS:
         raise ValueError(f"{n} ratings; a closed loop holds {MOST_RATINGS} at most. Replay a log instead")
     has = "known" in ratings.columns
-    rows = ratings.select("u", "i", F.col("r").cast("double").alias("r"), *(["known"] if has else [])).toPandas().sort_values(["u", "i"])
-    known = rows["known"].fillna(False).to_numpy(bool) if has else None
-    spark = ratings.sparkSession
-    data = spark.sparkContext.broadcast((rows["u"].to_numpy(np.int64), rows["i"].to_numpy(np.int64), rows["r"].to_numpy(float), n_users, n_items, known, threshold))
-    runs = [(s, seed) for s in specs for seed in seeds]
-    todo = spark.createDataFrame([(k,) for k in range(len(runs))] or [], "k int").repartitionByRange(max(1, len(runs)), "k")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in batch["k"].tolist():
-                spec, seed = runs[k]
-                own = Ratings(*data.value)
-                out = list(run(spec.build(n_users, n_items, seed, ties), own, seed, limit, **how))
-                found = pd.DataFrame(out, columns=["iter", "rank", "u", "i", "value"])
-                yield found.assign(run=spec.name, seed=seed)[["run", "seed", "iter", "rank", "u", "i", "value"]]
-
-    return todo.mapInPandas(work, RUN_SCHEMA).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
-
-
-def replay_log(log: DataFrame, specs: list[Spec], seeds: list[int], n_users: int, n_items: int, ties: str = "random") -> DataFrame:
+    pair = (F.col("u").cast("bigint") * n_items + F.col("i")).alias("pair")
+    rows = ratings.select(pair, F.col("r").cast("double").alias("r"), *([F.coalesce("known", F.lit(False)).alias("known")] if has else []))
+
+    def work(spec: Spec, seed: int) -> Callable:
+        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [tuple(b[c].to_numpy() for c in b.columns) for b in batches]
+            if parts:
+                pairs, values, *known = (np.concatenate(x) for x in zip(*parts, strict=True))
+                own = Ratings(pairs // n_items, pairs % n_items, values, n_users, n_items, known[0].astype(bool) if known else None, threshold)
+                yield from _given_out(run(spec.build(n_users, n_items, seed, ties), own, seed, limit, **how), ["iter", "rank", "u", "i", "value"], spec, seed)
+
+        return one
+
+    return side_by_side(rows, specs, seeds, work, RUN_SCHEMA).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
+def replay_log(log: DataFrame, specs: list[Spec], seeds: list[int], n_users: int, n_items: int, ties: str = "random", extra: int = 0, train: DataFrame | None = None) -> DataFrame:
     """``(run, seed, seq, u, i, reward)`` of the rows each policy matches. log: ``(seq, u, i, reward, cands)``.
 
-    A run's rows come sorted to one task and stream through it, so the task holds the policy's state and not the log.
+    The log streams through each run's task in its order, so the task holds the policy's state and not the log. extra: that many random
+    items besides the featured one as candidates, instead of the logged ones. train: rows ``(seq, u, i, reward)`` that every policy
+    learns before the log begins.
     """
-    spark = log.sparkSession
-    runs = [(s, seed) for s in specs for seed in seeds]
-    todo = F.broadcast(spark.createDataFrame([(k,) for k in range(len(runs))], "k int"))
-    rows = log.where("u IS NOT NULL AND i IS NOT NULL").select("seq", "u", "i", F.col("reward").cast("double").alias("reward"), "cands")
-    rows = rows.crossJoin(todo).repartition(max(1, len(runs)), "k").sortWithinPartitions("k", "seq")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        policies: dict[int, object] = {}
-        for batch in batches:
-            for k, part in batch.groupby("k", sort=True):
-                spec, seed = runs[int(k)]
-                policy = policies.setdefault(int(k), spec.build(n_users, n_items, seed, ties))
-                lines = zip(part["seq"].tolist(), part["u"].tolist(), part["i"].tolist(), part["reward"].tolist(), (np.asarray(c) for c in part["cands"]), strict=True)
-                found = pd.DataFrame(list(replay(policy, lines)), columns=["seq", "u", "i", "reward"])
-                yield found.assign(run=spec.name, seed=seed)[["run", "seed", "seq", "u", "i", "reward"]]
-
-    out = rows.mapInPandas(work, "run string, seed int, seq bigint, u int, i int, reward double")
+    columns = ["seq", "u", "i", "reward", "cands"]
+    rows = log.where("u IS NOT NULL AND i IS NOT NULL").select(F.struct(F.lit(1).alias("k"), "seq").alias("at"), *(F.col(c) if c != "reward" else F.col(c).cast("double") for c in columns))
+    if train is not None:
+        warm = train.where("u IS NOT NULL AND i IS NOT NULL").select(
+            F.struct(F.lit(0).alias("k"), "seq").alias("at"), "seq", "u", "i", F.col("reward").cast("double").alias("reward"), F.lit(None).cast("array<int>").alias("cands")
+        )
+        rows = rows.unionByName(warm)
+
+    def work(spec: Spec, seed: int) -> Callable:
+        def lines(batches: Iterator[pd.DataFrame], policy) -> Iterator[tuple]:
+            for b in batches:
+                for seq, u, i, reward, cands in zip(*(b[c].tolist() for c in columns), strict=True):
+                    if cands is None:
+                        policy.update(u, i, reward)
+                    else:
+                        yield seq, u, i, reward, np.asarray(cands)
+
+        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            policy = spec.build(n_users, n_items, seed, ties)
+            found = replay(policy, lines(batches, policy), extra, np.random.default_rng([seed, 1]))
+            yield from _given_out(chain(found), ["seq", "u", "i", "reward"], spec, seed)
+
+        return one
+
+    out = side_by_side(rows, specs, seeds, work, "run string, seed int, seq bigint, u int, i int, reward double")
     return out.withColumn("reward", F.nanvl("reward", F.lit(None).cast("double")))

@@ -11,6 +11,32 @@ import numpy as np
 from feedloop.policies.base import Policy
 
 
+class Lookup:
+    """Values by pair of codes, in two sorted arrays; of a repeated pair, the last value."""
+
+    def __init__(self, users: np.ndarray, items: np.ndarray, values: np.ndarray, n_items: int) -> None:
+        pairs = np.asarray(users, np.int64) * n_items + items
+        if len(pairs) > 1 and not (pairs[1:] > pairs[:-1]).all():
+            order = np.argsort(pairs, kind="stable")
+            pairs, values = pairs[order], np.asarray(values)[order]
+            last = np.r_[pairs[1:] != pairs[:-1], True]
+            pairs, values = pairs[last], values[last]
+        self.pairs, self.values, self.n_items = pairs, values, n_items
+
+    def get(self, pair: tuple[int, int], default: float | None = None) -> float | None:
+        code = pair[0] * self.n_items + pair[1]
+        k = int(self.pairs.searchsorted(code))
+        return float(self.values[k]) if k < len(self.pairs) and self.pairs[k] == code else default
+
+    def __contains__(self, pair: tuple[int, int]) -> bool:
+        return self.get(pair) is not None
+
+    def __getitem__(self, pair: tuple[int, int]) -> float:
+        if (found := self.get(pair)) is None:
+            raise KeyError(pair)
+        return found
+
+
 @dataclass
 class Ratings:
     """What a simulation knows and hides: values by pair, over codes 0 .. n-1."""
@@ -22,10 +48,10 @@ class Ratings:
     n_items: int
     known: np.ndarray | None = None
     threshold: float = 0.5
-    at: dict[tuple[int, int], float] = field(default_factory=dict)
+    at: Lookup = field(init=False)
 
     def __post_init__(self) -> None:
-        self.at = dict(zip(zip(self.users.tolist(), self.items.tolist(), strict=True), self.values.tolist(), strict=True))
+        self.at = Lookup(self.users, self.items, self.values, self.n_items)
 
     def relevant(self) -> int:
         return int((self.values >= self.threshold).sum())

@@ -52,60 +52,99 @@ class Cosine:
         return others, np.divide(dots, norm, out=np.zeros(len(dots)), where=norm > 0)
 
 
-class RestrictedCosine(Cosine):
+class Table:
+    """Values by row and by column under one of the four merge policies; a column's rows and values are arrays that grow."""
+
+    def __init__(self, variant: str, n: int) -> None:
+        if variant not in MERGES:
+            raise ValueError(f"no such variant: {variant}")
+        self.variant = variant
+        self.rows: dict[int, dict[int, float]] = {}
+        self.columns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.size: dict[int, int] = {}
+        self.place: dict[tuple[int, int], int] = {}
+        self.square, self.positives = np.zeros(n), np.zeros(n)
+
+    def put(self, row: int, column: int, value: float) -> None:
+        own = self.rows.setdefault(row, {})
+        had, old = column in own, own.get(column, 0.0)
+        new = {"basic": old, "best": max(old, value), "last": value, "additive": old + value}[self.variant] if had else value
+        own[column] = new
+        self.square[row] += new * new - old * old
+        self.positives[row] += (new > 0) - (old > 0)
+        if had:
+            self.columns[column][1][self.place[row, column]] = new
+            return
+        at = self.size.get(column, 0)
+        who, what = self.columns.get(column) or (np.zeros(4, np.int64), np.zeros(4))
+        if at == len(who):
+            who, what = np.resize(who, 2 * at), np.resize(what, 2 * at)
+        who[at], what[at] = row, new
+        self.columns[column] = who, what
+        self.size[column], self.place[row, column] = at + 1, at
+
+    def column(self, column: int) -> tuple[np.ndarray, np.ndarray]:
+        n = self.size.get(column, 0)
+        who, what = self.columns[column] if n else (np.zeros(0, np.int64), np.zeros(0))
+        return who[:n], what[:n]
+
+    def beside(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows that share a column, inner products, common columns, common positive columns) of a row."""
+        parts = [(who, own * what, (own > 0) * (what > 0)) for c, own in self.rows.get(row, {}).items() for who, what in (self.column(c),)]
+        if not parts:
+            none = np.zeros(0)
+            return np.zeros(0, np.int64), none, none, none
+        who, products, hits = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n = np.bincount(who)
+        n[row] = 0
+        others = np.flatnonzero(n)
+        return others, np.bincount(who, products)[others], n[others], np.bincount(who, hits)[others]
+
+
+def cosine(data: Table, row: int, **_) -> tuple[np.ndarray, np.ndarray]:
+    others, dots, _, _ = data.beside(row)
+    norm = np.sqrt(np.maximum(data.square[row] * data.square[others], 0))
+    return others, np.divide(dots, norm, out=np.zeros(len(dots)), where=norm > 0)
+
+
+def restricted_cosine(data: Table, row: int, **_) -> tuple[np.ndarray, np.ndarray]:
     """Inner product over the number of common columns; only what is positive."""
+    others, dots, common, _ = data.beside(row)
+    keep = dots > 0
+    return others[keep], dots[keep] / common[keep]
 
-    def __init__(self, n: int) -> None:
-        super().__init__(n)
-        self.common: list[dict[int, int]] = [{} for _ in range(n)]
-        self.seen: set[tuple[int, int]] = set()
-
-    def change_at(self, row: int, column: int, others: dict[int, float], old: float, new: float) -> None:
-        self.change(row, others, old, new)
-        if (row, column) not in self.seen:
-            self.seen.add((row, column))
-            for other in others:
-                if other != row:
-                    c = self.common[row].get(other, 0) + 1
-                    self.common[row][other] = self.common[other][row] = c
 
-    def of(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        others = np.array([o for o, s in self.dot[row].items() if s > 0], np.int64)
-        return others, np.array([self.dot[row][o] / self.common[row][o] for o in others.tolist()])
+def _beta_counts(data: Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, _, _, common = data.beside(row)
+    hits = np.zeros(len(data.positives))
+    hits[found] = common
+    others = np.delete(np.arange(len(hits)), row)
+    return others, hits[others], data.positives[others]
 
 
-class BetaSampled:
-    """Beta(common positives + alpha, positives of the other - common + beta), sampled for every other row."""
+def beta_exact(data: Table, row: int, rng: np.random.Generator, alpha: float, beta: float) -> tuple[np.ndarray, np.ndarray]:
+    others, h, p = _beta_counts(data, row)
+    return others, (h + alpha) / (p + beta)
 
-    def __init__(self, n: int, rng: np.random.Generator, alpha: float, beta: float, exact: bool = False) -> None:
-        self.n, self.rng, self.alpha, self.beta, self.exact = n, rng, alpha, beta, exact
-        self.hits: list[dict[int, int]] = [{} for _ in range(n)]
-        self.positives = np.zeros(n)
 
-    def change(self, row: int, others: dict[int, float], old: float, new: float) -> None:
-        if old > 0 or new <= 0:
-            return
-        self.positives[row] += 1
-        for other, value in others.items():
-            if other != row and value > 0:
-                h = self.hits[row].get(other, 0) + 1
-                self.hits[row][other] = self.hits[other][row] = h
+def beta_sampled(data: Table, row: int, rng: np.random.Generator, alpha: float, beta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Beta(common positives + alpha, positives of the other - common + beta), sampled for every other row."""
+    others, h, p = _beta_counts(data, row)
+    return others, rng.beta(h + alpha, np.maximum(p - h, 0) + beta)
 
-    def of(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        hits = np.zeros(self.n)
-        hits[list(self.hits[row])] = list(self.hits[row].values())
-        others = np.delete(np.arange(self.n), row)
-        h, p = hits[others], self.positives[others]
-        if self.exact:
-            return others, (h + self.alpha) / (p + self.beta)
-        return others, self.rng.beta(h + self.alpha, np.maximum(p - h, 0) + self.beta)
+
+SIMILARITIES = {"cosine": cosine, "restricted": restricted_cosine, "beta": beta_sampled, "beta-exact": beta_exact}
 
 
-def _nearest(rng: np.random.Generator, others: np.ndarray, sims: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """The k most similar, ties in random order; k = 0 takes all."""
-    order = np.lexsort((rng.permutation(len(others)), -sims))
-    order = order[:k] if k else order
-    return list(zip(others[order].tolist(), sims[order].tolist(), strict=True))
+def _nearest(rng: np.random.Generator, others: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k most similar, ties at the end in random order; k = 0 takes all."""
+    if k and len(others) > k:
+        least = np.partition(sims, len(sims) - k)[len(sims) - k]
+        sure, tied = np.flatnonzero(sims > least), np.flatnonzero(sims == least)
+        want = k - len(sure)
+        keep = np.r_[sure, tied if len(tied) == want else rng.choice(tied, want, replace=False)]
+        others, sims = others[keep], sims[keep]
+    return others, sims
 
 
 class UserKNN(Policy):
@@ -117,29 +156,28 @@ class UserKNN(Policy):
         super().__init__(*args, **kw)
         n = self.n_items if self.by_items else self.n_users
         self.k, self.item_k, self.ignore_zeroes = k, item_k, ignore_zeroes
-        self.data = Preferences(variant)
-        kinds = {"cosine": lambda: Cosine(n), "restricted": lambda: RestrictedCosine(n), "beta": lambda: BetaSampled(n, self.rng, alpha, beta), "beta-exact": lambda: BetaSampled(n, self.rng, alpha, beta, True)}
-        self.sim = kinds[similarity]()
+        self.data = Table(variant, n)
+        if similarity not in SIMILARITIES:
+            raise ValueError(f"no such similarity: {similarity}")
+        self.similar, self.alpha, self.beta = SIMILARITIES[similarity], alpha, beta
 
     def learn(self, user: int, item: int, value: float) -> None:
-        row, column = (item, user) if self.by_items else (user, item)
-        old, new = self.data.put(row, column, value)
-        if isinstance(self.sim, RestrictedCosine):
-            self.sim.change_at(row, column, self.data.columns[column], old, new)
-        else:
-            self.sim.change(row, self.data.columns[column], old, new)
-
-    def votes(self, user: int) -> dict[int, float]:
-        out: dict[int, float] = {}
-        for other, sim in _nearest(self.rng, *self.sim.of(user), self.k):
+        self.data.put(*((item, user) if self.by_items else (user, item)), value)
+
+    def nearest(self, row: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return _nearest(self.rng, *self.similar(self.data, row, rng=self.rng, alpha=self.alpha, beta=self.beta), k)
+
+    def votes(self, user: int, wanted: np.ndarray) -> None:
+        """Adds up the neighbours' votes in an array by item; NaN where nobody votes."""
+        for other, sim in zip(*(x.tolist() for x in self.nearest(user, self.k)), strict=True):
             for item, value in self.data.rows.get(other, {}).items():
                 if value > 0 or not self.ignore_zeroes:
-                    out[item] = out.get(item, 0.0) + sim * value
-        return out
+                    wanted[item] = sim * value if np.isnan(wanted[item]) else wanted[item] + sim * value
 
     def scores(self, user: int, items: np.ndarray) -> np.ndarray:
-        votes = self.votes(user)
-        return np.array([votes.get(i, -np.inf) for i in items.tolist()])
+        out = np.full(self.n_items, np.nan)
+        self.votes(user, out)
+        return np.nan_to_num(out[items], nan=-np.inf)
 
 
 class ItemKNN(UserKNN):
@@ -147,14 +185,13 @@ class ItemKNN(UserKNN):
 
     by_items = True
 
-    def votes(self, user: int) -> dict[int, float]:
-        own = [(i, v) for i, v in self.data.columns.get(user, {}).items() if v > 0 or not self.ignore_zeroes]
+    def votes(self, user: int, wanted: np.ndarray) -> None:
+        who, what = self.data.column(user)
+        own = [(i, v) for i, v in zip(who.tolist(), what.tolist(), strict=True) if v > 0 or not self.ignore_zeroes]
         own.sort(key=lambda x: -x[1])
-        out: dict[int, float] = {}
         for item, value in own[: self.k] if self.k else own:
-            for other, sim in _nearest(self.rng, *self.sim.of(item), self.item_k):
-                out[other] = out.get(other, 0.0) + sim * value
-        return out
+            others, sims = self.nearest(item, self.item_k)
+            wanted[others] = np.nan_to_num(wanted[others]) + sims * value
 
 
 class CollaborativeGreedy(Policy):
