@@ -2,10 +2,12 @@
 
 Rows are thought of in the order (key, input partition, place in the partition). Counting keys and summing the counts
 up gives every key its offset in that order, hence every row a number, and rows number c*size to (c+1)*size-1 form
-chunk c, whichever keys they belong to. Only the keys that a chunk border falls into need finer counts (per input
-partition), and there are at most as many of them as borders; so the table that numbers the rows is bounded by the
-number of chunks, a parameter, and not by keys or rows. Each chunk is worked off by itself, and the states of keys that
-reach over a border are merged in the order of the chunks.
+chunk c, whichever keys they belong to. Only the keys that a chunk border falls into are looked up in the finer counts
+(per input partition), and there are at most as many of them as borders; so the table that numbers the rows is bounded
+by the number of chunks, a parameter, and not by keys or rows. Several key columns are chunked together, one after the
+other, so that the table is read twice, however many there are: once to count, once to number. States of a chunk are
+merged in the order of the input partitions, and those of a key that reaches over borders in the order of the chunks;
+so sums of doubles come out the same on every run over the same files.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloop.operators.prefix import sums_before
+from feedloop.session import cut
 
 #: Chunks that all rows are cut into; bounds the borders sent to the tasks (a few dozen bytes each).
 CHUNKS = 240
@@ -52,41 +55,107 @@ class Borders:
         return out
 
 
-def borders(df: DataFrame, key: str, chunks: int = CHUNKS) -> tuple[Borders, int]:
-    """The chunk borders of df in the order (key, partition, place), and the rows in a chunk."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("_key")).agg(F.count("*").alias("_n"))
-    placed = sums_before(counts, ["_key"], "_n")
+def part_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``(_field, _key, _part, _n)``: rows of each key (null included) of each key column in each input partition; checkpointed."""
+    cells = F.posexplode(F.array(*(F.col(k).cast("bigint") for k in keys))).alias("_field", "_key")
+    return cut(df.select(F.spark_partition_id().alias("_part"), cells).groupBy("_field", "_key", "_part").agg(F.count("*").alias("_n")))
+
+
+def borders(counts: DataFrame, fields: int, chunks: int) -> list[tuple[Borders, int]]:
+    """For each field: the chunk borders that fall into it, and the chunks that begin before it."""
+    whole = counts.where("_key IS NOT NULL")
+    placed = sums_before(whole.groupBy("_field", "_key").agg(F.sum("_n").alias("_n")), ["_field", "_key"], "_n", settled=True)
     total = placed.agg(F.max(F.col("_before") + F.col("_n"))).first()[0] or 0
     size = max(1, -(-total // chunks))
     # A key is cut where a multiple of the size falls among its rows; a border at its first row needs no finer counts.
     first, last = F.ceil(F.col("_before") / size), F.floor((F.col("_before") + F.col("_n") - 1) / size)
-    cut = [(r["_key"], r["_before"], int(r["_first"]), int(r["_last"])) for r in placed.where(first <= last).select("_key", "_before", first.alias("_first"), last.alias("_last")).collect()]
-    inner = {k: before for k, before, lo, hi in cut if hi * size > before}
-    found = [(k, -1, 0) for k, before, lo, hi in cut for c in range(lo, hi + 1) if c and c * size == before]
+    hit = placed.where(first <= last).select("_field", "_key", "_before", first.alias("_first"), last.alias("_last")).collect()
+    inner = [(r["_field"], r["_key"], r["_before"]) for r in hit if r["_last"] * size > r["_before"]]
+    found = [(r["_field"], r["_key"], -1, 0) for r in hit if r["_first"] and r["_first"] * size == r["_before"]]
     if inner:
-        marked = F.broadcast(df.sparkSession.createDataFrame(list(inner.items()), "_key bigint, _before bigint"))
-        parts = (
-            df.select(F.col(key).cast("bigint").alias("_key"), F.spark_partition_id().alias("_part"))
-            .join(marked, "_key")
-            .groupBy("_key", "_part", "_before")
-            .agg(F.count("*").alias("_n"))
-        )
-        earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        from_row = F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+        marked = F.broadcast(counts.sparkSession.createDataFrame(inner, "_field int, _key bigint, _before bigint"))  # a key for each border at most
+        earlier = Window.partitionBy("_field", "_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         at = (
-            parts.withColumn("_from", from_row)
+            whole.join(marked, ["_field", "_key"])
+            .withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
             .withColumn("_lo", F.ceil(F.col("_from") / size))
             .withColumn("_hi", F.floor((F.col("_from") + F.col("_n") - 1) / size))
             .where("_lo <= _hi")
             .withColumn("_c", F.explode(F.sequence("_lo", "_hi")))
         )
         found += [
-            (r["_key"], r["_part"], r["_c"] * size - r["_from"])
+            (r["_field"], r["_key"], r["_part"], r["_c"] * size - r["_from"])
             for r in at.where((F.col("_c") * size > F.col("_before")) & (F.col("_c") > 0)).collect()
         ]
     found.sort()
-    k, p, i = (np.array([f[x] for f in found], dtype=np.int64) for x in range(3))
-    return Borders(k, p, i), size
+    out = []
+    for field in range(fields):
+        k, p, i = (np.array([f[x] for f in found if f[0] == field], dtype=np.int64) for x in (1, 2, 3))
+        out.append((Borders(k, p, i), sum(f[0] < field for f in found)))
+    return out
+
+
+_STATE = "_field int, _key bigint, _chunk bigint, _part int, _seq int, _rows bigint, _n bigint, _sum double"
+
+
+def _states(df: DataFrame, keys: list[str], value: str, found: list[tuple[Borders, int]]) -> DataFrame:
+    """Each task's states of its rows, by key and chunk: one row from each batch, one from each task for keys with a border in them."""
+    cuts = df.sparkSession.sparkContext.broadcast(found)
+    columns = [c.split()[0] for c in _STATE.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[dict[int, int]] = [{} for _ in keys]
+        kept: dict[tuple[int, int, int], list] = {}
+        part = 0
+        for seq, b in enumerate(batches):
+            if not b.num_rows:
+                continue
+            part = b.column(len(keys) + 1)[0].as_py()
+            values = b.column(len(keys)).to_numpy(zero_copy_only=False).astype(np.float64)
+            for field, (border, base) in enumerate(cuts.value):
+                there = b.column(field).is_valid().to_numpy(zero_copy_only=False)
+                k, v = b.column(field).drop_null().to_numpy(zero_copy_only=False), values[there]
+                if not len(k):
+                    continue
+                chunk = base + border.chunk(k, part, seen[field])
+                order = np.lexsort((chunk, k))
+                k, chunk, v = k[order], chunk[order], v[order]
+                start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (chunk[1:] != chunk[:-1])])
+                good = ~np.isnan(v)
+                rows = np.diff(np.r_[start, len(k)])
+                k, chunk = k[start], chunk[start]
+                n, sums = np.add.reduceat(good.astype(np.int64), start), np.add.reduceat(np.where(good, v, 0.0), start)
+                cut_key = np.isin(k, border.key)
+                for row in zip(*(x[cut_key].tolist() for x in (k, chunk, rows, n, sums)), strict=True):
+                    own = kept.setdefault((field, row[0], row[1]), [0, 0, 0.0])
+                    own[0], own[1], own[2] = own[0] + row[2], own[1] + row[3], own[2] + row[4]
+                rest = ~cut_key
+                m = int(rest.sum())
+                if m:
+                    cols = (np.full(m, field), k[rest], chunk[rest], np.full(m, part), np.full(m, seq), rows[rest], n[rest], sums[rest])
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=columns)
+        if kept:
+            cols = zip(*((f, k, c, part, -1, *own) for (f, k, c), own in sorted(kept.items())), strict=True)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=columns)
+
+    rows = df.select(*(F.col(k).cast("bigint").alias(f"_k{j}") for j, k in enumerate(keys)), F.col(value).cast("double").alias("_v"), F.spark_partition_id().alias("_p"))
+    return rows.mapInArrow(number, _STATE)
+
+
+def _merged(states: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """States added up in this order."""
+    inside = F.array_sort(F.collect_list(F.struct(*order, "_sum")))
+    out = states.groupBy(*by).agg(F.sum("_rows").alias("_rows"), F.sum("_n").alias("_n"), inside.alias("_s"))
+    return out.withColumn("_sum", F.aggregate("_s", F.lit(0.0), lambda a, x: a + x["_sum"])).drop("_s")
+
+
+def field_states(df: DataFrame, keys: list[str], value: str, chunks: int = CHUNKS) -> tuple[DataFrame, int]:
+    """(``(_field, _chunk, _key, _rows, _n, _sum)`` for each chunk and each key in it, rows of df). _field is the place of the key column."""
+    counts = part_counts(df, keys)
+    total = counts.where("_field = 0").agg(F.sum("_n")).first()[0] or 0
+    found = borders(counts, len(keys), chunks * len(keys))
+    return _merged(_states(df, keys, value, found), ["_field", "_key", "_chunk"], ["_part", "_seq"]), total
 
 
 def chunked_states(df: DataFrame, key: str, value: str, chunks: int = CHUNKS) -> DataFrame:
@@ -95,35 +164,16 @@ def chunked_states(df: DataFrame, key: str, value: str, chunks: int = CHUNKS) ->
     Rows with a null key belong to no key. Null and NaN values count as rows only. A task turns its rows to states
     before the shuffle, so that a chunk of one hot key arrives as one row from each task.
     """
-    found, _ = borders(df, key, chunks)
-    cuts = df.sparkSession.sparkContext.broadcast(found)
-    schema = "_chunk bigint, _key bigint, _rows bigint, _n bigint, _sum double"
+    return field_states(df, [key], value, chunks)[0].drop("_field")
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        for b in batches:
-            part = b.column(2)[0].as_py() if b.num_rows else 0
-            k = b.column(0).to_numpy(zero_copy_only=False)
-            v = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            chunk = cuts.value.chunk(k, part, seen)
-            # A key's chunks are neighbours, so (key, chunk) sorts as (key, chunk - lowest chunk) would.
-            order = np.lexsort((chunk, k))
-            k, chunk, v = k[order], chunk[order], v[order]
-            start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (chunk[1:] != chunk[:-1])]) if len(k) else np.array([], int)
-            if not len(start):
-                continue
-            good = ~np.isnan(v)
-            yield pa.record_batch(
-                [
-                    pa.array(chunk[start]), pa.array(k[start]), pa.array(np.diff(np.r_[start, len(k)])),
-                    pa.array(np.add.reduceat(good.astype(np.int64), start)), pa.array(np.add.reduceat(np.where(good, v, 0.0), start)),
-                ],
-                names=["_chunk", "_key", "_rows", "_n", "_sum"],
-            )
 
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), F.col(value).cast("double"), F.spark_partition_id())
-    states = rows.mapInArrow(number, schema)
-    return states.groupBy("_chunk", "_key").agg(F.sum("_rows").alias("_rows"), F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"))
+def fields_means(df: DataFrame, keys: list[str], value: str, chunks: int = CHUNKS) -> tuple[DataFrame, int]:
+    """(``(field, code, n_rows, n_values, mean_value)`` of every non-null key of every key column, rows of df); codes as bigint."""
+    states, total = field_states(df, keys, value, chunks)
+    merged = _merged(states, ["_field", "_key"], ["_chunk"])
+    name = F.element_at(F.array(*map(F.lit, keys)), F.col("_field") + 1)
+    mean = F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))
+    return merged.select(name.alias("field"), F.col("_key").alias("code"), F.col("_rows").alias("n_rows"), F.col("_n").alias("n_values"), mean.alias("mean_value")), total
 
 
 def key_means(df: DataFrame, key: str, value: str, chunks: int = CHUNKS) -> DataFrame:
@@ -132,20 +182,15 @@ def key_means(df: DataFrame, key: str, value: str, chunks: int = CHUNKS) -> Data
     mean_value is over values that are neither null nor NaN, and null where a key has none. An empty frame gives no
     rows; other columns, whatever their names, are ignored.
     """
-    states = chunked_states(df.select(F.col(key).alias("_k"), F.col(value).alias("_v")), "_k", "_v", chunks)
-    merged = states.groupBy("_key").agg(F.sum("_rows").alias("n_rows"), F.sum("_n").alias("n_values"), F.sum("_sum").alias("_s"))
-    return merged.select(
-        F.col("_key").cast(df.schema[key].dataType).alias(key), "n_rows", "n_values",
-        F.when(F.col("n_values") > 0, F.col("_s") / F.col("n_values")).alias("mean_value"),
-    )
+    rows = fields_means(df.select(F.col(key).alias("_k"), F.col(value).alias("_w")), ["_k"], "_w", chunks)[0]
+    return rows.select(F.col("code").cast(df.schema[key].dataType).alias(key), "n_rows", "n_values", "mean_value")
 
 
 def heavy_keys(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """``(field, code)``: the keys of each field that hold more than this share of all rows, null keys' rows included."""
-    total = F.broadcast(df.agg(F.count("*").alias("_total")))
-    found = None
-    for key in keys:
-        rows = key_means(df, key, value).crossJoin(total).where(F.col("n_rows") > F.lit(share) * F.col("_total"))
-        rows = rows.select(F.lit(key).alias("field"), F.col(key).alias("code"))
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    """``(field, code)``: the keys of each field that hold more than this share of all rows, null keys' rows included.
+
+    Code has the widest of the key columns' types.
+    """
+    rows, total = fields_means(df, keys, value)
+    kind = max((df.schema[k].dataType for k in keys), key=lambda t: ("tinyint", "smallint", "int", "bigint").index(t.simpleString()))
+    return rows.where(F.col("n_rows") > share * total).select("field", F.col("code").cast(kind).alias("code"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloop.operators.key_chunks import heavy_keys, key_means
+from feedloop.operators.key_chunks import fields_means, heavy_keys
 from feedloop.operators.strict_load import edges, rejects
 from feedloop.session import table
 
@@ -62,14 +62,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row count and mean value of every item code and of every user code."""
-    ratings = table(spark, sf_dir, "ratings")
-    out = None
-    for key in ("iidx", "uidx"):
-        rows = key_means(ratings, key, "value").select(
-            F.lit(key).alias("field"), F.col(key).alias("code"), "n_rows", F.round("mean_value", 6).alias("mean_value")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = fields_means(table(spark, sf_dir, "ratings"), ["iidx", "uidx"], "value")[0]
+    return rows.select("field", F.col("code").cast("int").alias("code"), "n_rows", F.round("mean_value", 6).alias("mean_value"))
 
 
 _P5 = " UNION ALL ".join(
