@@ -15,6 +15,8 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
+from itertools import islice
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,14 @@ from feedloop.session import cut
 #: Items with more than 1/FREQUENT of all entries have a rank by frequency, all others by code below them: so the
 #: table of ranks has at most FREQUENT rows, and the order is total whatever the number of items.
 FREQUENT = 50_000
-#: Sets in a block of a partition, at least; and the most partitions that are cut into blocks.
-BLOCK, CUT = 4_000, 20_000
+#: Sets in a block of a partition.
+BLOCK = 4_000
+#: Crowded partitions whose number of blocks is broadcast; more are joined by a shuffle.
+SMALL = 1_000_000
+#: Members of a class of equal sets that one task pairs with all others.
+SHARE = 2_000
+#: How much longer lists have to be to be set aside: a factor of the logarithm of the longest one's length.
+MU = 0.01
 #: Postings in a task of the merge.
 TASK = 40_000
 
@@ -105,8 +113,10 @@ def similar_in(block: list[tuple[int, int, int, np.ndarray]], t: Fraction) -> It
                     hits: Iterator[tuple[int, int]] = ((k, 0) for k in range(low, len(ids)))
                     long, from_ = lists, starts
                 else:
-                    # Binary search takes the longest lists; two occurrences are asked of the others (one, if T is 1).
-                    aside = max(0, need - 2)
+                    # Binary search takes the longest lists, the more of them the shorter they are; at least two
+                    # occurrences are asked of the others (one, if T is 1).
+                    longest = max(len(found) - begin for found, begin in zip(lists, starts, strict=True))
+                    aside = max(0, min(need - 2, int(need / (MU * log(longest) + 1))))
                     order = sorted(range(len(lists)), key=lambda k: len(lists[k]) - starts[k])
                     short = order[: len(order) - aside]
                     long, from_ = [lists[k] for k in order[len(short) :]], [starts[k] for k in order[len(short) :]]
@@ -156,36 +166,28 @@ def _sets(blocks: DataFrame, ranks: tuple[np.ndarray, np.ndarray], least: int) -
     return blocks.mapInArrow(kernel, "record bigint, size bigint, items binary")
 
 
-def _route(batches: Iterator[pa.RecordBatch], t: Fraction, blocks: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """A row for each prefix item of each set, and for each pair of blocks that it takes part in."""
+def _route(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
+    """A row for each prefix item of each set, with the items from there on."""
     for b in batches:
         for from_ in range(0, b.num_rows, 2000):
-            out: list[tuple[int, int, int, int, int, bytes]] = []
+            out: list[tuple[int, int, int, int, bytes]] = []
             part = b.slice(from_, 2000)
             for record, size, raw in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                 prefix = np.frombuffer(raw, np.uint32, probe_prefix(size, t)).tolist()
-                for place, item in enumerate(prefix):
-                    rest = raw[4 * place :]
-                    n = blocks.get(item, 1)
-                    if n == 1:
-                        out.append((item, 0, record, size, place, rest))
-                        continue
-                    own = (record * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) * n >> 64
-                    for other in range(n):
-                        out.append((item, min(own, other) * n + max(own, other), record, size, place, rest))
+                out += [(item, record, size, place, raw[4 * place :]) for place, item in enumerate(prefix)]
             if out:
                 cols = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item", "pair", "record", "size", "place", "rest"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item", "record", "size", "place", "rest"])
 
 
 def _join(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
     """Similar pairs of each (item, pair of blocks); the rows are sorted by these and size."""
 
     def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        pairs = list(similar_in(rows, t)) if len(rows) > 1 else []
-        for k in range(0, len(pairs), 1 << 16):
-            a, z = (np.array(c, np.int64) for c in zip(*pairs[k : k + (1 << 16)], strict=True))
+        pairs = similar_in(rows, t) if len(rows) > 1 else iter(())
+        while some := list(islice(pairs, 1 << 16)):
+            a, z = (np.array(c, np.int64) for c in zip(*some, strict=True))
             yield pa.record_batch([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], names=["a", "b"])
 
     rows: list[tuple] = []
@@ -229,24 +231,34 @@ def similar_pairs(df: DataFrame, record: str, item: str, threshold: Fraction, le
                 item, n = np.unique(np.concatenate(all_), return_counts=True)
                 yield pa.record_batch([pa.array(item.astype(np.int64)), pa.array(n)], names=["item", "n"])
 
-    most = max(BLOCK, postings // CUT)
     crowded = classes.select("size", "items").mapInArrow(prefixes, "item bigint, n bigint").groupBy("item").agg(F.sum("n").alias("n"))
-    cuts = {r["item"]: -(-r["n"] // most) for r in crowded.where(F.col("n") > most).collect()}
-
-    routed = classes.select("record", "size", "items").mapInArrow(
-        lambda batches: _route(batches, threshold, cuts), "item bigint, pair bigint, record bigint, size int, place int, rest binary"
-    )
+    cuts = cut(crowded.where(F.col("n") > BLOCK).select("item", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    routed = classes.select("record", "size", "items").mapInArrow(lambda batches: _route(batches, threshold), "item bigint, record bigint, size int, place int, rest binary")
+    routed = routed.join(F.broadcast(cuts) if cuts.count() <= SMALL else cuts, "item", "left")
+    # A set of a crowded partition goes to each pair of blocks that its own block takes part in.
+    own = F.pmod(F.xxhash64("record"), F.col("blocks")).cast("int")
+    together = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(own, k).cast("bigint") * F.col("blocks") + F.greatest(own, k))
+    pair = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(together)).alias("pair")
+    routed = routed.select("item", pair, "record", "size", "place", "rest")
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-postings // TASK))
     placed = routed.repartition(tasks, "item", "pair").sortWithinPartitions("item", "pair", "size", "record")
     pairs = cut(placed.mapInArrow(lambda batches: _join(batches, threshold), "a bigint, b bigint").distinct())
 
-    shared = classes.where("n > 1").select("items", F.col("record").alias("class"))
-    members = cut(sets.join(shared, "items").select("class", F.col("record").alias("member")))
-    left = members.select(F.col("class").alias("a"), F.col("member").alias("ma"))
-    right = members.select(F.col("class").alias("b"), F.col("member").alias("mb"))
-    across = pairs.join(left, "a", "left").join(right, "b", "left")
-    across = across.select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
-    other = members.select("class", F.col("member").alias("y"))
-    within = members.withColumnRenamed("member", "x").join(other, "class").where("x < y").select("x", "y")
+    # Equal sets are expanded at the end. Members of a large class are dealt to shares, so that no task pairs all of them.
+    shared = classes.where("n > 1").select("items", F.col("record").alias("class"), F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
+    dealt = F.pmod(F.xxhash64("record"), F.col("shares")).cast("int").alias("share")
+    members = cut(sets.join(shared, "items").select("class", dealt, "shares", F.col("record").alias("member")))
+    sizes = classes.where("n > 1").select(F.col("record").alias("class"), F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share")
+
+    def expanded(rows: DataFrame, side: str) -> DataFrame:
+        spread = rows.join(sizes.withColumnRenamed("class", side), side, "left").select("a", "b", F.col("shares").isNull().alias("_one"), every)
+        named = members.select(F.col("class").alias(side), "share", F.col("member"))
+        # A record that is a class of its own has no members; an empty share of a larger one gives nothing.
+        return spread.join(named, [side, "share"], "left").where("_one OR member IS NOT NULL").withColumn(side, F.coalesce("member", side)).select("a", "b")
+
+    across = expanded(expanded(pairs, "a"), "b").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    left, right = members.select("class", "share", F.col("member").alias("x")), members.select("class", every, F.col("member").alias("y"))
+    within = left.join(right, ["class", "share"]).where("x < y").select("x", "y")
     kind = df.schema[record].dataType
     return across.unionByName(within).select(F.least("x", "y").cast(kind).alias("a"), F.greatest("x", "y").cast(kind).alias("b"))

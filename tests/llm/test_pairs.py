@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from feedloop.llm import cooccur, simjoin, topn
 from feedloop.llm.cooccur import associations, baskets, item_counts
@@ -144,3 +145,64 @@ def test_the_threshold_drops_rows_of_large_groups():
     item = np.arange(100_000)
     assert len(survivors(np.zeros(100_000, int), item, np.full(100_000, 5.0), 5)) < 3_000
     assert len(survivors(np.zeros(100_000, int), item, np.random.default_rng(0).random(100_000), 5)) < 3_000
+
+
+def test_a_large_record_is_cut_to_slices(spark):
+    m = cooccur.LARGE + 900
+    df = spark.createDataFrame([(1, i) for i in range(m)] + [(2, i) for i in range(0, m, 2)] + [(3, None), (4, 7)], "u int, i int")
+    blocks = baskets(df, "u", "i", bare=True)
+    slices = blocks.where("sliced").collect()
+    assert len(slices) >= 3 and all(r["high"] > r["low"] for r in slices)
+    every, even = m * (m - 1) // 2, (m // 2) * (m // 2 - 1) // 2
+    assert cooccur.size_of(blocks) == (4, every + even)
+    counts = {(r["n_ab"], r["n"]): r["c"] for r in associations(df, "u", "i").groupBy("n_ab", "n").agg(F.count("*").alias("c")).collect()}
+    assert counts == {(1, 4): every - even, (2, 4): even}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=12), st.integers(2, 12), st.integers(1, 30), st.integers(5, 60))
+def test_slices_hold_each_pair_once(sizes, large, row, block):
+    code = np.concatenate([(np.int64(u) << 32) | np.arange(0, 2 * n, 2) for u, n in enumerate(sizes)])
+    saved = cooccur.LARGE, cooccur.ROW, cooccur.BLOCK
+    cooccur.LARGE, cooccur.ROW, cooccur.BLOCK = large, row, block
+    try:
+        got = [int(p) for b in cooccur._rows(code) for part, low, high in cooccur._slices_of(iter([b])) for pairs in cooccur._pair_codes(part, low, high) for p in pairs]
+    finally:
+        cooccur.LARGE, cooccur.ROW, cooccur.BLOCK = saved
+    pairs = sorted(tuple(int(x) for x in ab) for ab in zip(*cooccur._unpair(np.array(got, np.int64)), strict=True))
+    assert pairs == sorted((2 * a, 2 * b) for n in sizes for a, b in combinations(range(n), 2))
+
+
+def test_runs_are_merged_as_streams(monkeypatch):
+    """What lies below the first codes of all pieces to come is given out: little is held, however long the runs are."""
+    monkeypatch.setattr(cooccur, "HELD", 4000)
+    rng = np.random.default_rng(0)
+    runs = [run_lengths(np.sort(rng.integers(0, 1 << 40, 100_000))) for _ in range(8)]
+    pieces = sorted((int(c[k]), c[k : k + 500], n[k : k + 500]) for c, n in runs for k in range(0, len(c), 500))
+    merge, out, most = cooccur._Merge(1), 0, 0
+    for first, codes, counts in pieces:
+        out += sum(b.num_rows for b in merge.add(first, (codes, counts)))
+        most = max(most, merge.held)
+    out += sum(b.num_rows for b in merge.rest())
+    assert out == len(np.unique(np.concatenate([c for c, _ in runs]))) and most < 20_000
+
+
+@pytest.mark.parametrize("share", [2_000, 1])
+def test_a_large_class_of_equal_sets(spark, monkeypatch, share):
+    monkeypatch.setattr(simjoin, "SHARE", share)
+    rows = [(u, i) for u in range(30) for i in range(10)] + [(u, i) for u in range(40, 43) for i in range(11)] + [(50, i) for i in range(20, 30)]
+    got = [tuple(r) for r in similar_pairs(spark.createDataFrame(rows, "u int, i int"), "u", "i", Fraction(7, 10), 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(combinations([*range(30), *range(40, 43)], 2))
+
+
+def test_few_rows_of_a_spread_group_reach_the_rank(spark):
+    """A group whose rows lie in many partitions: the greatest of its thresholds drops nearly all of them."""
+    df = spark.range(0, 400_000, numPartitions=50).select(F.lit(1).alias("g"), F.col("id").alias("i"), (F.hash("id") % 100_000).cast("double").alias("s"), F.lit("x").alias("_s"))
+    df = df.unionByName(spark.createDataFrame([(1, -1, 1e12, "x"), (2, 5, float("-inf"), "x")], "g int, i bigint, s double, _s string"))  # outliers
+    rows = df.select(F.col("g").cast("bigint").alias("_g"), F.col("i").alias("_i"), F.col("s").alias("_s"))
+    given = topn._thresholds(rows, 5)
+    assert given.value[0].tolist() == [1]
+    left = topn._in_blocks(rows, lambda g, i, s: topn._above(given, g, i, s), "_g bigint, _i bigint, _s double").where("_g = 1").count()
+    assert 5 <= left <= 200
+    got = [(r["i"], r["s"]) for r in top_n(df, "g", "i", "s", 5).where("g = 1").orderBy("rank").collect()]
+    assert got == [(r["i"], r["s"]) for r in df.where("g = 1").orderBy(F.desc("s"), "i").limit(5).collect()]
