@@ -26,7 +26,7 @@ BLOCK = 1_500_000
 SLACK = 4
 #: Groups whose thresholds are given out (24 bytes each), those with most rows. Of further groups each block drops rows
 #: by its own threshold only; the result is the same.
-GIVEN_OUT = 1_000_000
+GIVEN_OUT = 200_000
 
 
 def _bins(x: np.ndarray) -> np.ndarray:
