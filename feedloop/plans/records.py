@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloop.operators.key_chunks import fields_means, heavy_keys
+from feedloop.operators.prefix import sums_before
 from feedloop.operators.strict_load import edges, rejects
-from feedloop.session import table
+from feedloop.session import checkpoint_dir, table
+from feedloop.sources import text
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,12 +76,42 @@ _P5 = " UNION ALL ".join(
     for k in ("iidx", "uidx")
 )
 
+def _written(spark: SparkSession, rows: DataFrame, order: str) -> str:
+    """The folder to which lines ``(order, value)`` were written in their order, as several files."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/text-{uuid.uuid4()}"
+    rows.repartitionByRange(7, order).sortWithinPartitions(order).select("value").write.text(path)
+    return path
+
+
+def text_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings written as delimited files, and read back in the order of the lines."""
+    rows = table(spark, sf_dir, "ratings").where("uidx IS NOT NULL AND iidx IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    path = _written(spark, rows.select("seq", F.concat_ws("::", "uidx", "iidx", "value").alias("value")), "seq")
+    back = text.ratings(spark, path)
+    return _placed(back).select("place", "user", "item", "rating")
+
+
+def text_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as tab-separated files, and read back in the order of the lines."""
+    rows = table(spark, sf_dir, "replay_log").where("uidx IS NOT NULL AND iidx IS NOT NULL AND reward IS NOT NULL AND NOT isnan(reward)")
+    listed = F.transform(F.filter(F.coalesce("cands", F.array().cast("array<int>")), lambda c: c.isNotNull()), lambda c: c.cast("string"))
+    line = F.concat_ws("\t", F.col("uidx").cast("string"), F.col("iidx").cast("string"), F.col("reward").cast("string"), F.concat_ws("\t", listed))
+    back = text.log(spark, _written(spark, rows.select("seq", F.regexp_replace(line, "\t$", "").alias("value")), "seq"))
+    return _placed(back).select("place", "u", "i", "reward", F.sort_array("cands").alias("cands"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return sums_before(rows.withColumn("_n", F.lit(1)), ["seq"], "_n").withColumn("place", F.col("_before") + 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_edges": p2_edges,
     "p2_reasons": p2_reasons,
     "p5_found": p5_found,
     "p5_means": p5_means,
+    "text_ratings": text_ratings,
+    "text_log": text_log,
 }
 SQL: dict[str, str] = {
     "p2_found": _P2 + "SELECT line_id FROM g WHERE NOT good",
@@ -86,4 +119,9 @@ SQL: dict[str, str] = {
     "p2_reasons": _P2_REASONS,
     "p5_found": f"SELECT field, code FROM ({_P5}) WHERE n_rows > 0.02 * (SELECT count(*) FROM ratings)",
     "p5_means": _P5,
+    "text_ratings": """SELECT row_number() OVER (ORDER BY seq) AS place, uidx::BIGINT AS "user", iidx::BIGINT AS item, value AS rating FROM ratings
+        WHERE uidx IS NOT NULL AND iidx IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)""",
+    "text_log": """SELECT row_number() OVER (ORDER BY seq) AS place, uidx AS u, iidx AS i, reward,
+        list_sort(list_distinct(list_append(list_filter(coalesce(cands, []), lambda c: c IS NOT NULL), iidx))) AS cands FROM replay_log
+        WHERE uidx IS NOT NULL AND iidx IS NOT NULL AND reward IS NOT NULL AND NOT isnan(reward)""",
 }

@@ -15,11 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a single machine) a folder of our own is made.
+    Only where that setting is absent and the master is local (tests, a single machine) a folder of our own is made; on a
+    cluster that would lie on one machine, so the setting is required there.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="feedloop-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)

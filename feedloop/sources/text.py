@@ -6,16 +6,33 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _COLUMNS = {"long": "bigint", "int": "int", "string": "string"}
 
 
+#: Bits of a line's number within its file.
+_IN_FILE = 43
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(seq, value)``: the lines of all files, numbered in the order of (file name, place in the file).
+
+    Spark packs files into tasks by size, so the order of tasks is not that of files. A line's number is made of its
+    file's place among the names, where its split of the file begins, and its place in the split, which stays below the
+    split's bytes. One row for each split is broadcast; the lines themselves aren't moved.
+    """
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")]
+    splits = spark.read.text(path).select(*where).groupBy("_file", "_start").agg(F.min("_id").alias("_first"))
+    splits = splits.withColumn("_no", F.dense_rank().over(Window.orderBy("_file")).cast("bigint") - 1)  # a row for each split
+    rows = spark.read.text(path).select("value", *where).join(F.broadcast(splits), ["_file", "_start"])
+    return rows.select((F.shiftleft("_no", _IN_FILE) + F.col("_start") + F.col("_id") - F.col("_first")).alias("seq"), "value")
+
+
 def _fields(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """``(seq, f)``: the fields of every line that isn't blank; seq follows the order of the lines."""
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-    return lines.where(F.trim("value") != "").select("seq", F.split("value", "\\Q" + sep + "\\E", -1).alias("f"))
+    return lines(spark, path).where(F.trim("value") != "").select("seq", F.split("value", "\\Q" + sep + "\\E", -1).alias("f"))
 
 
 def ratings(spark: SparkSession, path: str, sep: str = "::", user: str = "long", item: str = "long") -> DataFrame:
@@ -67,8 +84,8 @@ def index(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
     """``(id, code)`` of an index file; codes follow the order of the lines."""
     from feedloop.operators.prefix import sums_before
 
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("_seq"), F.col("value").cast(_COLUMNS[kind]).alias("id")).withColumn("_n", F.lit(1))
-    return sums_before(lines, ["_seq"], "_n").select("id", F.col("_before").cast("int").alias("code"))
+    ids = lines(spark, path).where(F.trim("value") != "").select(F.col("seq").alias("_seq"), F.col("value").cast(_COLUMNS[kind]).alias("id"), F.lit(1).alias("_n"))
+    return sums_before(ids, ["_seq"], "_n").select("id", F.col("_before").cast("int").alias("code"))
 
 
 def seeds(spark: SparkSession, path: str) -> list[int]:
@@ -81,9 +98,7 @@ RUN = "iter int, u int, i int, time bigint"
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """``(iter, u, i, time, rank, score)`` of a text run file with a header. Rows of one iter are a ranking of n items,
     and the one at place k (from 0) scores (n - k) / n. Of a torn last line, nothing is kept."""
-    from pyspark.sql import Window
-
-    rows = spark.read.text(path).withColumn("_seq", F.monotonically_increasing_id()).select("_seq", F.split("value", "\t", -1).alias("f"))
+    rows = lines(spark, path).withColumnRenamed("seq", "_seq").select("_seq", F.split("value", "\t", -1).alias("f"))
     good = (F.size("f") == 4) & F.col("f")[0].rlike(r"^\d+$") & F.col("f")[3].rlike(r"^\d+$")
     rows = rows.where(good).select("_seq", *(F.col("f")[k].cast(t).alias(n) for k, (n, t) in enumerate((("iter", "int"), ("u", "int"), ("i", "int"), ("time", "bigint")))))
     own = Window.partitionBy("iter")
@@ -154,8 +169,7 @@ def news_log(spark: SparkSession, path: str, features: int = 136) -> DataFrame:
     """
     from feedloop.functions.scores import one_hot
 
-    line = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-    parts = line.select("seq", F.transform(F.split("value", r"\|"), F.trim).alias("p"))
+    parts = lines(spark, path).select("seq", F.transform(F.split("value", r"\|"), F.trim).alias("p"))
     head = F.split(F.col("p")[0], r"\s+")
     codes = F.transform(F.filter(F.split(_tagged(F.col("p"), "user"), r"\s+"), lambda x: x.rlike(r"^\d+(:.*)?$")), lambda x: F.split(x, ":")[0].cast("int"))
     shown = F.transform(F.filter(F.slice("p", 2, 10_000), lambda x: ~x.startswith("user")), lambda x: F.split(x, r"\s+")[0])

@@ -106,3 +106,26 @@ def test_programs(spark, files, args):
 def test_no_rankings_in_replay(spark):
     with pytest.raises(SystemExit):
         main("rec --type stream --cutoff 5".split(), spark)
+
+
+def test_lines_follow_the_order_of_files(spark, tmp_path):
+    """Files of unequal size are packed into tasks by size; their lines still come in the order of names."""
+    expected = []
+    for name, n in (("a", 10), ("b", 1990), ("c", 1), ("d", 500), ("e", 0), ("f", 30)):
+        own = [f"{name}{k}" for k in range(n)]
+        (tmp_path / f"{name}.txt").write_text("".join(x + "\n" for x in own))
+        expected += own
+    rows = text.lines(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r["value"] for r in rows] == expected and len({r["seq"] for r in rows}) == len(rows)
+
+
+def test_lines_of_one_file_in_several_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"{k}\n" for k in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = text.lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5
+        assert [int(r["value"]) for r in rows.orderBy("seq").collect()] == list(range(20_000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
