@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloop.operators.prefix import numbered
+from feedloop.operators.prefix import numbered, running
 
 
 def with_iterations(runs: DataFrame, order: str = "seq") -> DataFrame:
@@ -42,9 +42,14 @@ def frequencies(runs: DataFrame, interval: int) -> DataFrame:
     per = seg.groupBy("run", "i", "seg").agg(F.count("*").alias("_n"))
     own = Window.partitionBy("run", "i").orderBy("seg")
     per = per.withColumn("freq", F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_next", F.lead("seg").over(own))
-    steps = per.join(last, "run").groupBy("run", "freq", "seg", F.coalesce(F.col("_next") - 1, F.col("_last")).alias("_to")).agg(F.count("*").alias("_m"))
-    held = steps.select("run", "freq", "_m", F.explode(F.sequence("seg", "_to")).alias("seg"))
-    held = held.groupBy("run", "seg", "freq").agg(F.sum("_m").alias("m"))
+    # An item enters a frequency in one segment and leaves it in another; what runs over segments is the sum of both.
+    enter = per.select("run", "freq", "seg", F.lit(1).alias("_d"))
+    leave = per.where("_next IS NOT NULL").select("run", "freq", F.col("_next").alias("seg"), F.lit(-1).alias("_d"))
+    change = enter.unionByName(leave).groupBy("run", "freq", "seg").agg(F.sum("_d").alias("_d"))
+    one = Window.partitionBy("run", "freq").orderBy("seg")
+    held = change.withColumn("m", F.sum("_d").over(one.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_until", F.lead("seg").over(one))
+    held = held.where("m > 0").join(F.broadcast(last), "run")  # a row for each run
+    held = held.select("run", "freq", "m", F.explode(F.sequence("seg", F.coalesce(F.col("_until") - 1, F.col("_last")))).alias("seg"))
     return held.join(points(runs, interval), ["run", "seg"]).select("run", "point", "freq", "m")
 
 
@@ -72,6 +77,12 @@ def gini(freqs: DataFrame, n_items: Column, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(value.alias("gini"))
 
 
+def popularity_before(runs: DataFrame, order: str = "seq") -> DataFrame:
+    """runs with ``before``: how often the row's item had been recommended in the run before this row."""
+    rows = runs.withColumn("_one", F.lit(1))
+    return running(rows, ["run", "i"], order, {"before": F.col("_one")}).withColumn("before", F.col("before") - 1).drop("_one")
+
+
 def epc(freqs: DataFrame, n_users: Column) -> DataFrame:
     """``(run, point, epc)``: 1 - sum of squared frequencies / (users x recommendations)."""
     squares, total = F.sum(F.col("freq") * F.col("freq") * F.col("m")), F.sum(F.col("freq") * F.col("m"))

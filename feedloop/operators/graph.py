@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloop.operators.hot import split_join
+from feedloop.operators.prefix import sums_before
 from feedloop.session import cut
 
 
@@ -45,19 +47,50 @@ def mutual(edges: DataFrame) -> DataFrame:
     return both.withColumn("average", (F.col("adjacent") + F.col("incident")) / 2)
 
 
+def _ends(edges: DataFrame, nodes: DataFrame, out: bool, into: bool) -> DataFrame:
+    """Nodes with and without edges out and in, from one aggregation of the edges."""
+    ends = F.explode(F.array(F.struct(F.col("src").alias("v"), F.lit(True).alias("_out")), F.struct(F.col("dst").alias("v"), F.lit(False).alias("_out")))).alias("_e")
+    per = edges.select(ends).select("_e.*").groupBy("v").agg(F.max("_out").alias("_out"), F.max(~F.col("_out")).alias("_in"))
+    rows = nodes.join(per, "v", "left").where((F.coalesce("_out", F.lit(False)) == out) & (F.coalesce("_in", F.lit(False)) == into))
+    return rows.select(*nodes.columns)
+
+
 def sources(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes with edges out and none in."""
-    starts, ends = edges.select(F.col("src").alias("v")), edges.select(F.col("dst").alias("v"))
-    return nodes.join(starts, "v", "left_semi").join(ends, "v", "left_anti")
+    return _ends(edges, nodes, True, False)
 
 
 def sinks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes with edges in and none out."""
-    return sources(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes)
+    return _ends(edges, nodes, False, True)
 
 
 def isolated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return nodes.join(vertices(edges), "v", "left_anti")
+    return _ends(edges, nodes, False, False)
+
+
+def reciprocity(edges: DataFrame) -> DataFrame:
+    """``(edges, mutual, reciprocity)``: how many edges there are, how many of them exist both ways, and their share."""
+    pair = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count_distinct(F.col("src") < F.col("dst")).alias("_ways"))
+    loops = edges.where("src = dst").agg(F.count("*").alias("_loops"))
+    sums = pair.agg(F.coalesce(F.sum("_ways"), F.lit(0)).alias("edges"), F.coalesce(F.sum(F.when(F.col("_ways") == 2, 2)), F.lit(0)).alias("mutual")).crossJoin(loops)
+    total = F.col("edges") + F.col("_loops")
+    return sums.select(total.alias("edges"), "mutual", (F.col("mutual") / F.nullif(total, F.lit(0))).alias("reciprocity"))
+
+
+def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """The graph with further edges ``(src, dst, weight, type)``; one that exists already keeps its weight and type."""
+    return edges.unionByName(new.dropDuplicates(["src", "dst"]).join(edges, ["src", "dst"], "left_anti").select(*edges.columns))
+
+
+def remove_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The graph without the edges of these pairs ``(src, dst)``."""
+    return edges.join(pairs, ["src", "dst"], "left_anti")
+
+
+def complete_edges(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(src, dst)`` of the complete graph, for the stated query nodes; without loops."""
+    return complement_edges(nodes.sparkSession.createDataFrame([], "src bigint, dst bigint"), nodes, queries)
 
 
 def neighbour_weights(edges: DataFrame) -> DataFrame:
@@ -124,7 +157,10 @@ def random_edges(nodes: int, p: float, seed: int, directed: bool, spark) -> Data
     else:
         row = F.floor((F.lit(2.0 * nodes - 1) - F.sqrt(F.lit((2.0 * nodes - 1) ** 2) - 8.0 * F.col("id"))) / 2)
         pairs = codes.select("id", row.alias("src"), (F.col("id") - (row * (2 * nodes - row - 1) / 2).cast("bigint") + row + 1).alias("dst"))
-    return pairs.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(wanted).select("src", "dst")
+    drawn = pairs.withColumn("_h", F.xxhash64("id", F.lit(seed)))
+    # The first `wanted` in the order of the hash, numbered range by range rather than in one task.
+    numbered = sums_before(drawn.withColumn("_n", F.lit(1)), ["_h", "id"], "_n")
+    return numbered.where(F.col("_before") < wanted).select("src", "dst")
 
 
 def co_rating_graph(positives: DataFrame, queries: DataFrame, least: int = 2) -> DataFrame:
@@ -132,7 +168,7 @@ def co_rating_graph(positives: DataFrame, queries: DataFrame, least: int = 2) ->
     users a: weight 1 / (n_a + n_b - 2 common + 1), distance sqrt(n_a + n_b - 2 common). Both: ``(u, i)``."""
     size = positives.groupBy("u").agg(F.count("*").alias("_n"))
     left = queries.select(F.col("u").alias("a"), "i")
-    pairs = left.join(positives.select(F.col("u").alias("b"), "i"), "i").where("a <> b")
+    pairs = split_join(left, positives.select(F.col("u").alias("b"), "i"), "i").where("a <> b")
     common = pairs.groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
     both = common.join(size.select(F.col("u").alias("a"), F.col("_n").alias("_na")), "a").join(size.select(F.col("u").alias("b"), F.col("_n").alias("_nb")), "b")
     apart = F.col("_na") + F.col("_nb") - 2 * F.col("common")

@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloop.operators.hot import split_join
+
 
 def co_ratings(queries: DataFrame, state: DataFrame) -> DataFrame:
     """``(a, b, dot, common)`` for each query a and each other b with a common item. Both: ``(k, i, r)``.
 
-    The queries are a stated, small part; the state is only joined with them, by item.
+    The queries are a stated, small part; the state is only joined with them, by item, hot items in shares.
     """
     left = queries.select(F.col("k").alias("a"), "i", F.col("r").alias("_x"))
     right = state.select(F.col("k").alias("b"), "i", F.col("r").alias("_y"))
-    pairs = left.join(right, "i").where("a <> b")
+    pairs = split_join(left, right, "i").where("a <> b")
     return pairs.groupBy("a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("dot"), F.count("*").alias("common"))
 
 

@@ -18,7 +18,7 @@ from feedloop.operators import splits as D
 from feedloop.operators.prefix import dense_codes, sums_before
 from feedloop.operators.strict_load import edges as typed_edges
 from feedloop.plans.records import _P2
-from feedloop.session import table
+from feedloop.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -357,7 +357,8 @@ _COS = ", sm AS (SELECT p.a, p.b, dot / (x1.norm * x2.norm) AS sim FROM p JOIN n
 
 
 def _users(spark, d):
-    return _m(spark, d).select(F.col("u").alias("k"), "i", "r")
+    """The merged state by user; it is read several times, so its lineage is cut."""
+    return cut(_m(spark, d).select(F.col("u").alias("k"), "i", "r"))
 
 
 def _queries(state: DataFrame) -> DataFrame:
@@ -392,21 +393,12 @@ def userknn_scores(spark, d):
     return _rounded(K.by_users(near, st, own.select(F.col("k").alias("u"), "i"), 10), "score")
 
 
-@query(_pairs_sql("i", "u", "SELECT i AS k, u AS j, r FROM m") + _COS + _NEAR + """, ow AS (SELECT u, i, r FROM m WHERE u % 50 = 0),
+@query(_pairs_sql("i", "u", "SELECT i AS k, u AS j, r FROM m").replace(f"a.k % {EVERY} = 0", f"a.k IN (SELECT i FROM m WHERE u % {EVERY} = 0)") + _COS + _NEAR + f""", ow AS (SELECT u, i, r FROM m WHERE u % {EVERY} = 0),
 sc AS (SELECT ow.u, nb.b AS i, sum(sim * r) AS score FROM ow JOIN nb ON ow.i = nb.a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.u = ow.u AND m.i = nb.b) GROUP BY 1, 2)
 SELECT u, i, round(score, 6) AS score, row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, i) AS place FROM sc QUALIFY place <= 10""")
 def itemknn_scores(spark, d):
-    m = _m(spark, d)
-    st = m.select(F.col("i").alias("k"), F.col("u").alias("i"), "r")
-    near = K.nearest(K.cosine(_queries(st), st), 10)
-    own = m.where(F.col("u") % EVERY == 0)
-    return _rounded(K.by_items(near, own, own.select("u", "i"), 10), "score")
-
-
-@query()
-def itemknn_whole_scores(spark, d):
-    """itemknn_scores with a vote of every item the user rated, and not only of those whose code is divisible by EVERY."""
-    m = _m(spark, d)
+    """What is near to the items of the query users; every item that a user rated votes."""
+    m = cut(_m(spark, d))
     near = K.nearest_of_all(m.select(F.col("i").alias("k"), F.col("u").alias("i"), "r"), 10)
     own = m.where(F.col("u") % EVERY == 0)
     return _rounded(K.by_items(near, own, own.select("u", "i"), 10), "score")
@@ -597,6 +589,11 @@ def min_activity_users(spark, d):
     return L.active_users(_log(spark, d), 5)
 
 
+@query(f"WITH {_RUNS} SELECT run, seq, i, row_number() OVER (PARTITION BY run, i ORDER BY seq) - 1 AS before FROM n")
+def popularity_before(spark, d):
+    return C.popularity_before(_runs(spark, d)).select("run", "seq", "i", "before")
+
+
 # --- Graphs -----------------------------------------------------------------------------------------------------------
 @query(f"{_G} SELECT src, dst, weight, type FROM e")
 def graph_edges(spark, d):
@@ -646,6 +643,20 @@ def graph_neighbour_weights(spark, d):
     return _rounded(G.neighbour_weights(_edges(spark, d)), "weight")
 
 
+@query(f"{_G} SELECT count(*) AS edges, count(*) FILTER (EXISTS (SELECT 1 FROM e o WHERE o.src = e.dst AND o.dst = e.src)) AS mutual, round(mutual / edges::DOUBLE, 6) AS reciprocity FROM e")
+def graph_reciprocity(spark, d):
+    return _rounded(G.reciprocity(_edges(spark, d)), "reciprocity")
+
+
+@query(f"{_G} SELECT src, dst, weight, type FROM e WHERE type <> 1 UNION ALL SELECT DISTINCT e.dst, e.src, 0.5::DOUBLE, 9 FROM e WHERE type = 1 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.src = e.dst AND o.dst = e.src AND o.type <> 1)")
+def graph_changed(spark, d):
+    """The graph without its edges of type 1, and with their reversals added where there is no edge."""
+    e = cut(_edges(spark, d))
+    gone = e.where("type = 1")
+    new = gone.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.5).alias("weight"), F.lit(9).alias("type"))
+    return G.add_edges(G.remove_edges(e, gone.select("src", "dst")), new)
+
+
 @query(f"{_G}, o AS (SELECT src AS v, count(*) AS n FROM e GROUP BY 1) SELECT v.v, (SELECT count(*) FROM v) - 1 - coalesce(o.n, 0) AS missing FROM v LEFT JOIN o ON o.v = v.v")
 def graph_complement_counts(spark, d):
     e = _edges(spark, d)
@@ -682,7 +693,7 @@ w AS (SELECT a, b, common, x1.n + x2.n - 2 * common AS apart FROM k JOIN n x1 ON
 
 
 def _co_rating(spark, d):
-    liked = _m(spark, d).where(F.col("r") >= THRESHOLD).select("u", "i")
+    liked = cut(_m(spark, d).where(F.col("r") >= THRESHOLD).select("u", "i"))
     return G.co_rating_graph(liked, liked.where(F.col("u") % EVERY == 0))
 
 

@@ -33,7 +33,7 @@ def test_every_rated_item_votes(spark):
                 if b not in items:
                     scores[b] -= sim * value
         expected |= {(u, b): s for b, s in scores.items()}
-    got = library.QUERIES["itemknn_whole_scores"](spark, SF).collect()
+    got = library.QUERIES["itemknn_scores"](spark, SF).collect()
     assert got and {r["u"] for r in got} == {u for u, _ in expected}
     for r in got:
         assert r["score"] == pytest.approx(expected[r["u"], r["i"]], abs=1e-5)
