@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloop.operators import curves as C
+from feedloop.operators import logs as L
 from feedloop.operators import preferences as P
 from feedloop.operators import splits as D
 from feedloop.operators.prefix import dense_codes
@@ -36,6 +37,13 @@ def _coded(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, in
     return rows.select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), value.alias("r"), *known).persist(), users.count(), items.count()
 
 
+def _trained(spark: SparkSession, path: str) -> DataFrame:
+    """A training run with ``seq``, which follows its iterations and the places within them."""
+    rows = text.read_run(spark, path)
+    most = rows.agg(F.max("rank")).first()[0] or 1
+    return rows.withColumn("seq", F.col("iter").cast("bigint") * (most + 1) + F.col("rank"))
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="feedloop")
     p.add_argument("command", choices=COMMANDS)
@@ -64,6 +72,11 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--runs", nargs="*", default=[], help="run files or summaries")
     p.add_argument("--points", type=int, nargs="*", default=[1000])
     p.add_argument("--limit", type=int, default=10)
+    p.add_argument("--selection", choices=("all", "limited"), default="all", help="what may be recommended: every item, or a random pool")
+    p.add_argument("--pool", type=int, default=20, help="size of a limited pool; of a stream: random items besides the featured one, 0: those logged")
+    p.add_argument("--user-choice", choices=("random", "round-robin", "random-round-robin"), default="random")
+    p.add_argument("--resume", help="folder of run files that go on where they stopped")
+    p.add_argument("--metrics", nargs="*", default=list(programs.METRICS), help="what a summary lists")
     return p
 
 
@@ -73,8 +86,9 @@ def main(argv: list[str], spark: SparkSession | None = None) -> DataFrame | None
         raise SystemExit("rankings can't be replayed")
     spark = spark or SparkSession.builder.appName("feedloop").getOrCreate()
     seeds = text.seeds(spark, args.seed_file) if args.seed_file else args.seeds
-    specs = [s for part in registry.load(args.algorithms) for s in part] if args.algorithms else []
-    how = {"cutoff": args.cutoff, "use": args.use, "learn": ("reciprocal" if args.not_reciprocal else "general") if args.directed or args.type != "contact" else "undirected"}
+    lists = registry.load(args.algorithms) if args.algorithms else []
+    specs = list({s.name: s for part in lists for s in part}.values())
+    how = {"selection": args.selection, "pool": args.pool, "users": args.user_choice, "cutoff": args.cutoff, "use": args.use, "learn": ("reciprocal" if args.not_reciprocal else "general") if args.directed or args.type != "contact" else "undirected"}
     if args.command == "outputranker":
         files = None
         for f in args.runs:
@@ -85,7 +99,12 @@ def main(argv: list[str], spark: SparkSession | None = None) -> DataFrame | None
     elif args.type == "stream":
         log = text.log(spark, args.data)
         n_users, n_items = text.index(spark, args.users).count(), text.index(spark, args.items).count()
-        runs = replay_log(log, specs, seeds, n_users, n_items).withColumn("run", F.concat_ws("#", "run", "seed"))
+        first = None
+        if args.warmup:  # what a training run and the log agree on is learnt before the rest of the log
+            train = _trained(spark, args.warmup)
+            first, log = L.matched_prefix(log, train).withColumnRenamed("place", "seq"), L.after(log, train.count())
+        extra = args.pool if args.selection == "limited" else 0
+        runs = replay_log(log, specs, seeds, n_users, n_items, extra=extra, train=first).withColumn("run", F.concat_ws("#", "run", "seed"))
         curve = C.cumulative(C.with_iterations(runs), {"clicks": (F.col("reward") >= args.threshold).cast("int"), "counter": F.lit(1)}, args.interval)
         curve = curve.withColumn("ctr", F.col("clicks") / F.col("counter"))
         out = programs.ranking(curve, "ctr") if args.command == "valid" else programs.summary(curve, ["ctr", "counter"])
@@ -94,15 +113,19 @@ def main(argv: list[str], spark: SparkSession | None = None) -> DataFrame | None
         if not args.use_ratings:  # values are 0 or 1 from here on
             args.threshold = 0.5
         base = (ratings, specs, seeds, args.end, n_users, n_items, args.threshold)
-        train = text.read_run(spark, args.warmup).withColumn("seq", F.col("iter").cast("bigint") * 100_000 + F.col("rank")) if args.warmup else None
+        train = _trained(spark, args.warmup) if args.warmup else None
+        if args.resume:
+            how["stored"] = text.read_runs(spark, args.resume)
         if args.command == "rec":
             runs, curve = programs.recommend(*base, interval=args.interval, **how)
-            out = programs.summary(curve, ["recall", "evenness"])
+            out = programs.summary(curve, [m for m in args.metrics if m in curve.columns])
             if args.out:
-                runs.write.mode("overwrite").partitionBy("run", "seed").parquet(f"{args.out}/runs")
+                text.write_runs(runs, f"{args.out}/runs")
         elif args.command == "valid":
             out = programs.validate(*base, **how)
         elif args.command == "warmup-rec":
+            if len(lists) > 1:  # a list of policies for each split
+                base = (ratings, lists, *base[2:])
             out = programs.warm_recommend(train, *base, parts=abs(args.parts), full=args.full, relevant=args.parts < 0, **how)
         elif args.command == "warmup-valid":
             out = programs.warm_validate(train, *base, parts=abs(args.parts), ratio=args.ratio, **how)
@@ -112,12 +135,13 @@ def main(argv: list[str], spark: SparkSession | None = None) -> DataFrame | None
         elif args.command in ("summarize", "warmup-summarize"):
             runs = None
             for f in args.runs:
-                rows = text.read_run(spark, f).select(F.lit(f).alias("run"), F.lit(0).alias("seed"), "iter", "rank", "u", "i")
+                rows = text.read_run(spark, f).select(F.lit(f).alias("run"), F.lit(0).alias("seed"), "iter", "rank", "u", "i", "time")
                 runs = rows if runs is None else runs.unionByName(rows)
             seen = P.reveal(runs, ratings).withColumnRenamed("r", "value")
             if train is not None:  # what was trained on doesn't count
                 seen, ratings = P.delete(seen, train), P.delete(ratings, train)
-            out = programs.at_points(programs.curves(seen, ratings, n_items, args.threshold, args.interval), "recall", args.points)
+            curve = programs.curves(seen, ratings, n_items, args.threshold, args.interval, n_users)
+            out = programs.summaries(curve, [m for m in args.metrics if m in curve.columns], args.points)
         elif args.command == "dataset":
             out = programs.dataset_graph(ratings, args.threshold)
         else:

@@ -50,3 +50,8 @@ def matched_prefix(log: DataFrame, train: DataFrame) -> DataFrame:
     pairs = numbered(train.select("seq", "u", "i").withColumn("_p", F.lit(0)), ["_p"], "seq", "place").select("place", "u", "i")
     rows = numbered(log.select("seq", "u", "i", "reward").withColumn("_p", F.lit(0)), ["_p"], "seq", "place").select("place", "u", "i", "reward")
     return rows.join(pairs, ["place", "u", "i"])
+
+
+def after(log: DataFrame, n: int) -> DataFrame:
+    """The log without its first n rows."""
+    return numbered(log.withColumn("_p", F.lit(0)), ["_p"], "seq", "_place").where(F.col("_place") > n).drop("_p", "_place")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +21,29 @@ def _named(runs: DataFrame) -> DataFrame:
     return runs.select(
         F.concat_ws("#", "run", "seed").alias("run"), F.col("run").alias("algorithm"), ((F.col("iter") - 1).cast("bigint") * most + F.col("rank")).alias("iter"),
         ((F.col("iter") - 1).cast("bigint") * most + F.col("rank")).alias("seq"), "u", "i", F.col("value").alias("r"),
+        *(["time"] if "time" in runs.columns else []),
     )
 
 
-def curves(runs: DataFrame, ratings: DataFrame, n_items: int, threshold: float, interval: int) -> DataFrame:
-    """``(run, point, recall, evenness)`` of simulated runs."""
+#: Metrics of simulated runs; time is that spent since the point before, in milliseconds.
+METRICS = ("recall", "evenness", "epc", "time")
+
+
+def curves(runs: DataFrame, ratings: DataFrame, n_items: int, threshold: float, interval: int, n_users: int | None = None) -> DataFrame:
+    """``(run, point, recall, evenness[, epc, time])`` of simulated runs; epc where n_users is given, time where runs have it."""
     named = _named(runs)
     total = max(1, ratings.where(F.col("r") >= threshold).count())
     hits = C.cumulative(named, {"hits": (F.col("r") >= threshold).cast("int")}, interval).withColumn("recall", F.col("hits") / total).drop("hits")
-    even = C.gini(C.frequencies(named, interval), F.lit(n_items), ["run", "point"]).select("run", "point", (1 - F.col("gini")).alias("evenness"))
-    return hits.join(even, ["run", "point"])
+    freqs = C.frequencies(named, interval)
+    even = C.gini(freqs, F.lit(n_items), ["run", "point"]).select("run", "point", (1 - F.col("gini")).alias("evenness"))
+    out = hits.join(even, ["run", "point"])
+    if n_users is not None:
+        out = out.join(C.epc(freqs, F.lit(n_users)), ["run", "point"])
+    if "time" in runs.columns:
+        segment = F.ceil(F.col("iter") / interval)
+        spent = named.groupBy("run", segment.alias("_seg")).agg(F.max("iter").alias("point"), F.sum("time").alias("time"))
+        out = out.join(spent.select("run", "point", "time"), ["run", "point"])
+    return out
 
 
 def summary(curve: DataFrame, metrics: list[str]) -> DataFrame:
@@ -49,10 +64,16 @@ def at_points(curve: DataFrame, metric: str, points: list[int]) -> DataFrame:
     return wide.select("algorithm", *(F.coalesce(F.col(str(p)), F.lit("-")).alias(str(p)) for p in points))
 
 
+def summaries(curve: DataFrame, metrics: list[str], points: list[int]) -> DataFrame:
+    """``(metric, algorithm, point...)``: every metric's values at the points."""
+    tables = [at_points(curve, m, points).select(F.lit(m).alias("metric"), "*") for m in metrics]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def recommend(ratings: DataFrame, specs: list[Spec], seeds: list[int], limit: float, n_users: int, n_items: int, threshold: float, interval: int = 1000, **how) -> tuple[DataFrame, DataFrame]:
     """(runs, curves) of policies on a dataset."""
     runs = simulate(ratings, specs, seeds, limit, n_users, n_items, threshold, **how).persist()
-    return runs, curves(runs, ratings, n_items, threshold, interval)
+    return runs, curves(runs, ratings, n_items, threshold, interval, n_users)
 
 
 def validate(ratings: DataFrame, specs: list[Spec], seeds: list[int], limit: float, n_users: int, n_items: int, threshold: float, **how) -> DataFrame:
@@ -66,9 +87,9 @@ def _training(train: DataFrame, ratings: DataFrame, full: bool):
     return tuple(rows[c].to_numpy(t) for c, t in (("u", int), ("i", int), ("r", float)))
 
 
-def warm_recommend(train: DataFrame, ratings: DataFrame, specs: list[Spec], seeds: list[int], limit: float, n_users: int, n_items: int, threshold: float, parts: int, full: bool = False, relevant: bool = False, **how) -> DataFrame:
+def warm_recommend(train: DataFrame, ratings: DataFrame, specs: list[Spec] | list[list[Spec]], seeds: list[int], limit: float, n_users: int, n_items: int, threshold: float, parts: int, full: bool = False, relevant: bool = False, **how) -> DataFrame:
     """Runs of each split j, warmed up with the training log's first j parts; parts of equal rows, or equal relevant
-    rows. A column ``split`` is added."""
+    rows. specs: policies of all splits, or a list for each split. A column ``split`` is added."""
     rows = P.reveal(D.uniform(train.select("seq", "u", "i"), "seq", parts), ratings)
     if relevant:
         ends = D.by_relevant(P.reveal(train.select("seq", "u", "i"), ratings), "seq", P.is_relevant(F.col("r"), threshold), parts)
@@ -77,8 +98,9 @@ def warm_recommend(train: DataFrame, ratings: DataFrame, specs: list[Spec], seed
         cuts = sorted((r["part"] + 1, r["end"]) for r in rows.groupBy("part").agg(F.max("place").alias("end")).collect())
     out = None
     for j, end in cuts:
+        own = specs[min(j, len(specs)) - 1] if specs and isinstance(specs[0], list) else specs
         warm = _training(rows.where(F.col("place") <= end), ratings, full)
-        runs = simulate(ratings, specs, seeds, limit, n_users, n_items, threshold, warm=warm, **how).withColumn("split", F.lit(j))
+        runs = simulate(ratings, own, seeds, limit, n_users, n_items, threshold, warm=warm, **how).withColumn("split", F.lit(j))
         out = runs if out is None else out.unionByName(runs)
     return out
 

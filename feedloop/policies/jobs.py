@@ -6,6 +6,7 @@ run's task streams it from there: rows are neither multiplied by the runs, nor s
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain, islice
@@ -21,7 +22,7 @@ from feedloop.session import cut
 
 #: Ratings that a closed loop may hold in each task (16 bytes each); more are refused, since every run needs them all at once.
 MOST_RATINGS = 50_000_000
-RUN_SCHEMA = "run string, seed int, iter int, rank int, u int, i int, value double"
+RUN_SCHEMA = "run string, seed int, iter int, rank int, u int, i int, value double, time bigint"
 #: Rows that a run gives out at a time.
 ROWS = 50_000
 
@@ -40,22 +41,48 @@ def _given_out(rows: Iterator[tuple], columns: list[str], spec: Spec, seed: int)
         yield pd.DataFrame(some, columns=columns).assign(run=spec.name, seed=seed)[["run", "seed", *columns]]
 
 
-def simulate(ratings: DataFrame, specs: list[Spec], seeds: list[int], limit: float, n_users: int, n_items: int, threshold: float = 0.5, ties: str = "random", **how) -> DataFrame:
-    """``(run, seed, iter, rank, u, i, value)`` of every policy with every seed. ratings: ``(u, i, r[, known])`` over codes."""
+def _timed(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows with the milliseconds since the row before."""
+    began = time.perf_counter()
+    for row in rows:
+        now = time.perf_counter()
+        yield *row, int((now - began) * 1000)
+        began = now
+
+
+def simulate(
+    ratings: DataFrame, specs: list[Spec], seeds: list[int], limit: float, n_users: int, n_items: int, threshold: float = 0.5, ties: str = "random", stored: DataFrame | None = None, **how
+) -> DataFrame:
+    """``(run, seed, iter, rank, u, i, value, time)`` of every policy with every seed; time in milliseconds since the row before.
+
+    ratings: ``(u, i, r[, known])`` over codes. stored: ``(run, seed, iter, rank, u, i)`` of interrupted runs, which go on where they
+    stopped: what they recommended is learnt and given out again first.
+    """
     n = ratings.count()
     if n > MOST_RATINGS:
         raise ValueError(f"{n} ratings; a closed loop holds {MOST_RATINGS} at most. Replay a log instead")
-    has = "known" in ratings.columns
     pair = (F.col("u").cast("bigint") * n_items + F.col("i")).alias("pair")
-    rows = ratings.select(pair, F.col("r").cast("double").alias("r"), *([F.coalesce("known", F.lit(False)).alias("known")] if has else []))
+    has, again = "known" in ratings.columns, stored is not None
+    at = F.struct(F.lit(0).alias("k"), F.lit(0).alias("iter"), F.lit(0).alias("rank"), pair).alias("at")
+    rows = ratings.select(at, pair, F.col("r").cast("double").alias("r"), *([F.coalesce("known", F.lit(False)).alias("known")] if has else []))
+    if again:
+        at = F.struct(F.lit(1).alias("k"), F.col("iter").cast("int").alias("iter"), F.col("rank").cast("int").alias("rank"), pair).alias("at")
+        rows = rows.unionByName(stored.select(at, pair, F.col("run").cast("string").alias("run"), F.col("seed").cast("int").alias("seed")), allowMissingColumns=True)
 
     def work(spec: Spec, seed: int) -> Callable:
         def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            parts = [tuple(b[c].to_numpy() for c in b.columns) for b in batches]
+            parts, done = [], []
+            for b in batches:
+                if again:
+                    mine = b[(b["run"] == spec.name) & (b["seed"] == seed)]
+                    done += [divmod(int(p), n_items) for p in mine["pair"]]
+                    b = b[b["run"].isna()]
+                parts.append((b["pair"].to_numpy(np.int64), b["r"].to_numpy(float), b["known"].to_numpy(bool) if has else np.zeros(0, bool)))
             if parts:
-                pairs, values, *known = (np.concatenate(x) for x in zip(*parts, strict=True))
-                own = Ratings(pairs // n_items, pairs % n_items, values, n_users, n_items, known[0].astype(bool) if known else None, threshold)
-                yield from _given_out(run(spec.build(n_users, n_items, seed, ties), own, seed, limit, **how), ["iter", "rank", "u", "i", "value"], spec, seed)
+                pairs, values, flags = (np.concatenate(x) for x in zip(*parts, strict=True))
+                data = Ratings(pairs // n_items, pairs % n_items, values, n_users, n_items, flags if has else None, threshold)
+                steps = run(spec.build(n_users, n_items, seed, ties), data, seed, limit, stored=done, **how)
+                yield from _given_out(_timed(steps), ["iter", "rank", "u", "i", "value", "time"], spec, seed)
 
         return one
 

@@ -185,18 +185,20 @@ def revealed(data: Ratings, user: int, item: int, kind: str) -> list[tuple[int,
 
 def run(
     policy: Policy, data: Ratings, seed: int, limit: float, selection: str = "all", users: str = "random", learn: str = "general", cutoff: int = 1,
-    warm: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, stored: list[tuple[int, int]] | None = None, use: str = "all",
+    warm: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, stored: list[tuple[int, int]] | None = None, use: str = "all", pool: int = 20,
 ) -> Iterator[tuple[int, int, int, int, float]]:
     """Rows ``(iter, rank, user, item, value)`` of one run.
 
     warm: pairs and values to learn before the start, which aren't recommended again. stored: pairs of an interrupted
-    run, learnt and given out again before it goes on. use: the ratings that are revealed (known, unknown, all).
+    run, learnt and given out again before it goes on. use: the ratings that are revealed (known, unknown, all). pool: candidates
+    of a limited selection.
     """
     shown = data.view(use)
     rng = np.random.default_rng([seed, 1])
     kind = {"all": Available, "limited": LimitedPool}[selection]
     contact = learn in ("undirected", "reciprocal")
-    choice = kind(shown, rng, users=users, contact=contact, both_ways=learn == "undirected")
+    size = {"size": pool} if selection == "limited" else {}
+    choice = kind(shown, rng, users=users, contact=contact, both_ways=learn == "undirected", **size)
     if warm is not None:
         policy.warm_up(*warm)
         for u, i in zip(warm[0].tolist(), warm[1].tolist(), strict=True):

@@ -112,6 +112,21 @@ def write_run(df: DataFrame, path: str, compressed: bool = False) -> None:
     rows.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "gzip" if compressed else "none").csv(path)
 
 
+def write_runs(runs: DataFrame, path: str, compressed: bool = False) -> None:
+    """Text run files of many runs ``(run, seed, iter, rank, u, i, time)``, one in each folder ``run=.../seed=...``."""
+    rows = runs.repartition("run", "seed").sortWithinPartitions("run", "seed", "iter", "rank")
+    rows = rows.select("run", "seed", F.col("iter").alias("numIter"), F.col("u").alias("uidx"), F.col("i").alias("iidx"), "time")
+    rows.write.mode("overwrite").partitionBy("run", "seed").option("sep", "\t").option("header", True).option("compression", "gzip" if compressed else "none").csv(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """``(run, seed, iter, rank, u, i, time)`` of a folder of run files that write_runs wrote."""
+    rows = spark.read.option("sep", "\t").option("header", True).schema("numIter int, uidx int, iidx int, time bigint, run string, seed int").csv(path)
+    rows = rows.select("run", "seed", F.col("numIter").alias("iter"), F.col("uidx").alias("u"), F.col("iidx").alias("i"), "time", F.monotonically_increasing_id().alias("_at"))
+    place = Window.partitionBy("run", "seed", "iter").orderBy("_at")  # a ranking's rows lie together in one file
+    return rows.where("iter IS NOT NULL").withColumn("rank", F.row_number().over(place)).drop("_at")
+
+
 def read_binary_run(spark: SparkSession, path: str) -> DataFrame:
     """``(iter, u, i, time, rank)`` of a binary run file: big-endian int iter, int user, int n, n int items, long time.
     A file is one record stream and is read as a whole; many files are read side by side."""

@@ -76,6 +76,7 @@ def files(tmp_path_factory):
     (d / "r").write_text("".join(f"{u}::{i}::{(u * i) % 5 + 1}\n" for u in range(1, 9) for i in range(1, 8) if (u + i) % 3))
     (d / "c").write_text("".join(f"{u}\t{v}\n" for u in range(1, 9) for v in range(1, 9) if u < v and (u + v) % 3))
     (d / "grid.json").write_text(json.dumps([{"name": "random"}, {"name": "itembandit", "params": [{"bandit": {"name": "ucb1"}}]}]))
+    (d / "lists.json").write_text(json.dumps([[{"name": "random"}], [{"name": "popularity"}]]))
     (d / "warm").write_text("numIter\tuidx\tiidx\ttime\n" + "".join(f"{k + 1}\t{k % 8}\t{k % 7}\t1\n" for k in range(30)))
     (d / "log").write_text("".join(f"{k % 4}\t{k % 3}\t{k % 2}\t0\t1\t2\n" for k in range(200)))
     (d / "users").write_text("0\n1\n2\n3\n")
@@ -96,6 +97,9 @@ def files(tmp_path_factory):
         "dataset --data {d}/r --threshold 3",
         "dataset-analysis --data {d}/r --threshold 3 --limit 2",
         "rec --type stream --data {d}/log --users {d}/users --items {d}/items --algorithms {d}/grid.json --interval 20",
+        "rec --type stream --data {d}/log --users {d}/users --items {d}/items --algorithms {d}/grid.json --interval 20 --selection limited --pool 1 --warmup {d}/warm",
+        "rec --data {d}/r --algorithms {d}/grid.json --threshold 3 --end 20 --interval 10 --selection limited --pool 3 --user-choice round-robin",
+        "warmup-rec --data {d}/r --algorithms {d}/lists.json --threshold 3 --end 5 --warmup {d}/warm --parts 2",
     ],
 )
 def test_programs(spark, files, args):
@@ -129,3 +133,23 @@ def test_lines_of_one_file_in_several_splits(spark, tmp_path):
         assert [int(r["value"]) for r in rows.orderBy("seq").collect()] == list(range(20_000))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_runs_are_written_resumed_and_summarised(spark, files, tmp_path):
+    base = f"rec --data {files}/r --algorithms {files}/grid.json --threshold 3 --interval 10 --seeds 1 2 "
+    main([*base.split(), "--end", "20", "--out", str(tmp_path / "a")], spark)
+    first = text.read_runs(spark, str(tmp_path / "a" / "runs"))
+    pairs = lambda df: {(r["run"], r["seed"], r["iter"]): (r["u"], r["i"]) for r in df.collect()}
+    assert {r["run"] for r in first.collect()} == {"random", "itembandit-ucb1"} and first.count() == 2 * 2 * 20
+    main([*base.split(), "--end", "30", "--resume", str(tmp_path / "a" / "runs"), "--out", str(tmp_path / "b")], spark)
+    more = pairs(text.read_runs(spark, str(tmp_path / "b" / "runs")))
+    assert len(more) == 2 * 2 * 30 and all(more[k] == v for k, v in pairs(first).items())
+    one = str(tmp_path / "b" / "runs" / "run=random" / "seed=1")
+    out = main(f"summarize --data {files}/r --threshold 3 --runs {one} --interval 10 --points 10 30 99".split(), spark)
+    rows = {r["metric"]: r for r in out.collect()}
+    assert set(rows) == {"recall", "evenness", "epc", "time"} and all(r["30"] != "-" and r["99"] == "-" for r in rows.values())
+
+
+def test_each_split_has_its_own_policies(spark, files):
+    out = main(f"warmup-rec --data {files}/r --algorithms {files}/lists.json --threshold 3 --end 5 --warmup {files}/warm --parts 2".split(), spark)
+    assert {(r["split"], r["run"]) for r in out.select("split", "run").distinct().collect()} == {(1, "random"), (2, "popularity")}
