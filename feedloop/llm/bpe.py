@@ -124,7 +124,8 @@ class Merger(dict):
             marked[at], marked[keep] = _MARK, points
             pieces = marked.tobytes().decode("utf-32-le", "surrogatepass").split(chr(_MARK))
         number = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        first, flat = np.array(self.starts), np.array(self.flat, np.int32)
+        # Views of the cache, not copies; they are gone when it grows again.
+        first, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.int32)
         size = first[number + 1] - first[number]
         upto = np.cumsum(size)
         ids = flat[np.repeat(first[number] - (upto - size), size) + np.arange(upto[-1])]

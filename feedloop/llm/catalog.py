@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloop.llm.bpe import encode
@@ -97,6 +97,34 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def p7_million(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mix of a million tokens, or as many as the sources can give."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), total=1_000_000)[1]
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every mix: no document too often, budgets met, sums and shares that agree, targets met by sources that aren't capped."""
+    mix, shares = mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+    per = mix.groupBy("source").agg(
+        F.max("copies").alias("_most"), F.sum(F.col("copies") * F.col("n_tokens")).alias("_tokens"), F.count("*").alias("_docs"), F.countDistinct("doc_id").alias("_ids")
+    )
+    whole = F.sum("actual_share").over(Window.partitionBy())  # a row for each listed source
+    left = F.col("budget") - F.col("mixed_tokens")
+    capped = F.col("budget") >= F.col("source_tokens") * F.col("max_repeats")
+    rows = shares.withColumn("_whole", whole).join(per, "source", "left").na.fill(0, ["_most", "_tokens", "_docs", "_ids"])
+    return rows.select(
+        "source", "target_share", "max_repeats", "n_docs",
+        (F.col("_most") <= F.col("max_repeats")).alias("within_repeats"), (F.col("_docs") == F.col("_ids")).alias("listed_once"), (F.col("_tokens") == F.col("mixed_tokens")).alias("sums_agree"),
+        ((left >= 0) & (left <= 64)).alias("budget_met"), (F.abs(F.col("_whole") - 1) < 1e-9).alias("shares_add_up"),
+        (capped | (F.col("actual_share") >= F.col("target_share") - 1e-3)).alias("target_met"),
+    )
+
+
+P7_INVARIANTS_SQL = """SELECT t.source, coalesce(t.target_share, 0) AS target_share, coalesce(t.max_repeats, 0) AS max_repeats, count(d.doc_id) AS n_docs,
+  TRUE AS within_repeats, TRUE AS listed_once, TRUE AS sums_agree, TRUE AS budget_met, TRUE AS shares_add_up, TRUE AS target_met
+FROM source_targets t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' WHERE t.source IS NOT NULL GROUP BY 1, 2, 3"""
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = residue(table(spark, sf_dir, "documents"), "doc_id", "text", "title_code")
     return found.where("residue IS NOT NULL").select("doc_id")
@@ -121,8 +149,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_offsets": p6_offsets,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_million": p7_million,
+    "p7_invariants": p7_invariants,
     "p8_found": p8_found,
     "p8_kinds": p8_kinds,
     "p8_clean": p8_clean,
 }
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_odds": P3_ODDS_SQL, "p4_found": P4_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_odds": P3_ODDS_SQL, "p4_found": P4_SQL, "p7_invariants": P7_INVARIANTS_SQL}

@@ -86,8 +86,12 @@ def budgets(sources: list[dict], total: int | None) -> dict[str, int]:
         weight = sum(share[n] for n in open_)
         full = {n for n in open_ if left * share[n] / weight >= cap[n]}
         if not full:
-            for n in sorted(open_):
+            for n in open_:
                 out[n] = int(left * share[n] / weight)
+            # Tokens lost by rounding go to the largest remainders, so that the whole total is given out.
+            rest = sorted(open_, key=lambda n: (out[n] - left * share[n] / weight, n))
+            for n in rest[: max(0, left - sum(out[n] for n in open_))]:
+                out[n] += out[n] < cap[n]
             break
         for n in full:
             out[n] = cap[n]
