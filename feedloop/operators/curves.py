@@ -6,6 +6,8 @@ segments; so no window ever holds a run's rows, only its segments.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,24 @@ def cumulative(runs: DataFrame, sums: dict[str, Column], interval: int) -> DataF
     return segs.select("run", "point", *(F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(n) for n in sums))
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A metric of one's own: named sums over a run's rows, and its value at a point as an expression over the sums so far."""
+
+    name: str
+    sums: dict[str, Column]
+    value: Column
+
+
+def curve(runs: DataFrame, metrics: list[Metric], interval: int) -> DataFrame:
+    """``(run, point, ...)``: the metrics' values at each point, from one pass over the runs."""
+    named = {f"_{m.name}_{n}": c for m in metrics for n, c in m.sums.items()}
+    rows = cumulative(runs, named, interval)
+    for m in metrics:
+        rows = rows.withColumnsRenamed({f"_{m.name}_{n}": n for n in m.sums}).withColumn(m.name, m.value).drop(*(n for n in m.sums if n != m.name))
+    return rows
+
+
 def points(runs: DataFrame, interval: int) -> DataFrame:
     return _segments(runs, interval).groupBy("run", "seg").agg(F.max("iter").alias("point"))
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from feedloop.policies.base import Average, Policy
 
 
+#: (old value, what was seen, how often so far, alpha) -> new value.
+Step = Callable[[float, float, float, float], float]
+
+
 class EpsilonGreedy(Policy):
-    """With probability epsilon a random candidate, else the best by a value that is updated in one of four ways."""
+    """With probability epsilon a random candidate, else the best by a value that is updated in one of four ways, or by a function."""
 
-    def __init__(self, *args, epsilon: float = 0.1, step: str = "stationary", alpha: float = 0.1, **kw) -> None:
+    def __init__(self, *args, epsilon: float = 0.1, step: str | Step = "stationary", alpha: float = 0.1, **kw) -> None:
         super().__init__(*args, **kw)
-        if step not in ("stationary", "nonStationary", "useAll", "count"):
+        if not callable(step) and step not in ("stationary", "nonStationary", "useAll", "count"):
             raise ValueError(f"no such update function: {step}")
         self.epsilon, self.step, self.alpha = epsilon, step, alpha
         self.n, self.value, self.total = np.zeros(self.n_items), np.zeros(self.n_items), 0.0
@@ -34,7 +40,9 @@ class EpsilonGreedy(Policy):
     def learn(self, user: int, item: int, value: float) -> None:
         old = self.value[item]
         self.n[item] += 1
-        if self.step == "stationary":
+        if callable(self.step):
+            new = self.step(old, value, self.n[item], self.alpha)
+        elif self.step == "stationary":
             new = old + (value - old) / self.n[item]
         elif self.step == "nonStationary":
             new = old + self.alpha * (value - old)

@@ -6,16 +6,26 @@ A policy scores the candidates of a user and learns from the value that is revea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: What counts as a missing rating's value for policies that don't ignore it.
 UNRATED = 0.0
 
 
+#: (user, items, their scores, how often each was learnt) -> the scores that decide.
+ValueFunction = Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
 class Policy:
-    def __init__(self, n_users: int, n_items: int, rng: np.random.Generator, ignore_unknown: bool = True, ties: str = "random") -> None:
+    def __init__(
+        self, n_users: int, n_items: int, rng: np.random.Generator, ignore_unknown: bool = True, ties: str = "random", value_function: ValueFunction | None = None
+    ) -> None:
         self.n_users, self.n_items, self.rng = n_users, n_items, rng
         self.ignore_unknown, self.ties = ignore_unknown, ties
+        self.value_function = value_function
+        self.chosen = None if value_function is None else np.zeros(n_items)
 
     def scores(self, user: int, items: np.ndarray) -> np.ndarray:
         """A score for each candidate; the highest is recommended. NaN counts as lowest."""
@@ -29,17 +39,25 @@ class Policy:
             if self.ignore_unknown:
                 return
             value = UNRATED
+        if self.value_function is not None:
+            self.chosen[item] += 1
         self.learn(user, item, float(value))
 
     def warm_up(self, users: np.ndarray, items: np.ndarray, values: np.ndarray) -> None:
         for u, i, v in zip(users.tolist(), items.tolist(), values.tolist(), strict=True):
             self.update(u, i, v)
 
+    def _decide(self, user: int, items: np.ndarray) -> np.ndarray:
+        s = self.scores(user, items)
+        if self.value_function is not None:
+            s = self.value_function(user, items, s, self.chosen[items])
+        return np.nan_to_num(s, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+
     def pick(self, user: int, items: np.ndarray) -> int:
         """The recommended item; -1 without candidates."""
         if len(items) < 2:
             return int(items[0]) if len(items) else -1
-        s = np.nan_to_num(self.scores(user, items), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        s = self._decide(user, items)
         if self.ties == "id":  # rounded, so that equal scores are equal in whatever order they were added up
             return int(items[(s := np.round(s, 9)) == s.max()].min())
         best = items[s == s.max()]
@@ -47,7 +65,7 @@ class Policy:
 
     def rank(self, user: int, items: np.ndarray, k: int) -> list[int]:
         """The k best, by score downwards; equal scores in the candidates' order."""
-        s = np.nan_to_num(self.scores(user, items), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        s = self._decide(user, items)
         return items[np.argsort(-s, kind="stable")[:k]].tolist()
 
     def one_by_one(self, user: int, items: np.ndarray, k: int) -> list[int]:

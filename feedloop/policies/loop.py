@@ -110,7 +110,7 @@ class Available:
     def __init__(self, data: Ratings, rng: np.random.Generator, users: str = "random", contact: bool = False, both_ways: bool = False) -> None:
         self.data, self.both_ways = data, both_ways
         self.seen: dict[int, np.ndarray] = {}
-        self.chooser = USERS[users](np.unique(data.users), rng)
+        self.chooser = (users if callable(users) else USERS[users])(np.unique(data.users), rng)
         self.contact = contact
 
     def _mask(self, user: int) -> np.ndarray:
@@ -161,8 +161,10 @@ class LimitedPool(Available):
 
 
 # --- When it ends, what is learnt -------------------------------------------------------------------------------------
-def end_after(limit: float, relevant: int) -> Callable[[int, int], bool]:
-    """0: never; from 1 on: that many iterations; below: that share of the relevant ratings found."""
+def end_after(limit: float | Callable[[int, int], bool], relevant: int) -> Callable[[int, int], bool]:
+    """A function of (iterations done, relevant ratings found), or 0: never; from 1 on: that many iterations; below: that share of the relevant ratings found."""
+    if callable(limit):
+        return limit
     if limit == 0:
         return lambda done, hits: False
     if limit >= 1:
@@ -184,10 +186,11 @@ def revealed(data: Ratings, user: int, item: int, kind: str) -> list[tuple[int,
 
 
 def run(
-    policy: Policy, data: Ratings, seed: int, limit: float, selection: str = "all", users: str = "random", learn: str = "general", cutoff: int = 1,
+    policy: Policy, data: Ratings, seed: int, limit: float | Callable[[int, int], bool], selection: str | Callable = "all", users: str | Callable = "random", learn: str = "general", cutoff: int = 1,
     warm: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, stored: list[tuple[int, int]] | None = None, use: str = "all", pool: int = 20,
 ) -> Iterator[tuple[int, int, int, int, float]]:
-    """Rows ``(iter, rank, user, item, value)`` of one run.
+    """Rows ``(iter, rank, user, item, value)`` of one run. The end, the selection of candidates and the choice of users go by name, or by an own
+    function or class with the same arguments as those here.
 
     warm: pairs and values to learn before the start, which aren't recommended again. stored: pairs of an interrupted
     run, learnt and given out again before it goes on. use: the ratings that are revealed (known, unknown, all). pool: candidates
@@ -195,7 +198,7 @@ def run(
     """
     shown = data.view(use)
     rng = np.random.default_rng([seed, 1])
-    kind = {"all": Available, "limited": LimitedPool}[selection]
+    kind = selection if callable(selection) else {"all": Available, "limited": LimitedPool}[selection]
     contact = learn in ("undirected", "reciprocal")
     size = {"size": pool} if selection == "limited" else {}
     choice = kind(shown, rng, users=users, contact=contact, both_ways=learn == "undirected", **size)
