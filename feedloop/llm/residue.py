@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -291,12 +292,13 @@ class _Counts:
     """What a batch of records shows, added up."""
 
     def __init__(self) -> None:
-        self.cues: Counter[int] = Counter()
-        self.frames: Counter[tuple[int, str | None]] = Counter()
+        self.cues: list[int] = []  # keys of units, once for each record
+        self.plain: list[int] = []  # frames of units without a mark
+        self.frames: Counter[tuple[int, str]] = Counter()
         self.names: Counter[tuple[str, str]] = Counter()
         self.pages: dict[tuple[int, int], str] = {}
         self.numbered: dict[tuple[int, int], str] = {}
-        self.memo: dict[str, tuple[int, tuple[tuple[int, None], ...]]] = {}
+        self.memo: dict[str, tuple[int, tuple[int, ...]]] = {}
 
     def add(self, raw: str, title: str | None) -> None:
         text = plain(raw).replace("\r\n", "\n").replace("\r", "\n")
@@ -310,18 +312,17 @@ class _Counts:
             marked = [(name, label) for label, name, _, _ in marks(text)]
             self.names.update({(n, PUBLIC) for n in names_shown(text, open_slots)}.union(marked))
         said: set[int] = set()
-        framed, memo = self.frames, self.memo
+        memo, plain_frames = self.memo, self.plain
         for u in dict.fromkeys(every):
             if u:
                 known = memo.get(u)
                 if known is None:
                     key = unit_key(u)
-                    known = memo[u] = (hashed(key), tuple((f, None) for f in frames(key.split(" "))))
+                    known = memo[u] = (hashed(key), frames(key.split(" ")))
                 said.add(known[0])
                 found = next(marks(u), None) if marked and _EDGED.search(u) else None
                 if found is None:
-                    for f in known[1]:
-                        framed[f] = framed.get(f, 0) + 1
+                    plain_frames += known[1]
                 else:
                     label, _, start, end = found
                     left, right = unit_key(u[:start]).split(), unit_key(u[end:]).split()
@@ -336,7 +337,7 @@ class _Counts:
                         known = memo.get(line)
                         said.add(hashed(unit_key(line)) if known is None else known[0])
             said.update(hashed(unit_key(line)) for line in text[: spans[0][0]].split("\n"))
-        self.cues.update(said)
+        self.cues += said
         if title is None or open_slots:  # a template with open slots is no page
             return
         own = hashed(title)
@@ -358,26 +359,35 @@ class _Counts:
         if sum(map(str.isalpha, key)) >= 3:
             where[hashed(key), own] = key
 
-    def rows(self) -> list[tuple]:
-        out: list[tuple] = [(0, k, None, None, None, n) for k, n in self.cues.items()]
-        out += [(1, k, g, None, s, 1) for (k, g), s in self.pages.items()]
-        out += [(2, k, g, None, s, 1) for (k, g), s in self.numbered.items()]
-        out += [(3, hashed(name), None, label, name, n) for (name, label), n in self.names.items()]
-        return out + [(4, k, None, label, None, n) for (k, label), n in self.frames.items()]
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for kind, found in ((0, self.cues), (4, self.plain)):
+            if found:
+                keys, n = np.unique(np.array(found, np.int64), return_counts=True)
+                none = pa.nulls(len(keys))
+                columns = (pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.string()), pa.array(n.astype(np.int64)))
+                yield pa.record_batch(list(columns), names=list(_ROW))
+        rows: list[tuple] = [(1, k, g, None, s, 1) for (k, g), s in self.pages.items()]
+        rows += [(2, k, g, None, s, 1) for (k, g), s in self.numbered.items()]
+        rows += [(3, hashed(name), None, label, name, n) for (name, label), n in self.names.items()]
+        rows += [(4, k, None, label, None, n) for (k, label), n in self.frames.items()]
+        if rows:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ROW.values(), strict=True)], names=list(_ROW))
+
+
+#: What the learning pass gives: what is counted (0 units, 1 pages, 2 captions, 3 names, 4 frames), by which key and group.
+_ROW = {"kind": pa.int8(), "key": pa.int64(), "grp": pa.int64(), "label": pa.string(), "shown": pa.string(), "n": pa.int64()}
 
 
 def learn(df: DataFrame, text: str, group: str) -> Learnt:
     """What all units of a corpus show, none left out; more than KEPT templates raise."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int8(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         for b in batches:
             counts = _Counts()
             for raw, title in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if raw and not raw.isspace():
                     counts.add(raw, title)
-            if rows := counts.rows():
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "key", "grp", "label", "shown", "n"])
+            yield from counts.batches()
 
     schema = "kind tinyint, key bigint, grp bigint, label string, shown string, n bigint"
     rows = df.select(F.col(text).cast("string"), F.col(group).cast("string")).mapInArrow(kernel, schema)
