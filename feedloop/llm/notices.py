@@ -76,7 +76,7 @@ THINGS = (
 STATES = (
     "error found notfound fail missing denied deny forbidden unavailable available removed deleted expired suspended blocked banned limit exceed quota timeout timed maintenance down "
     "offline wrong problem broken invalid unauthori disabled unable cannot couldn't could not retry refresh reload exist moved overload terminat restrict permission allow reached reach "
-    "refused reset parked unknown unexpected unusual strange notified encounter uncaught exception fatal warning misconfig interrupted lost private "
+    "refused reset parked unknown unexpected unusual encounter uncaught exception fatal warning misconfig interrupted lost private "
     "gefunden verweigert verboten verfügbar erreichbar gelöscht entfernt abgelaufen gesperrt blockiert überschritten wartung ungültig fehlgeschlagen existiert überlast unterbrochen "
     "introuvable refusé interdit indisponible disponible supprim expir suspendu bloqu dépass maintenance invalide échou existe survenu trouvé réessay joindre "
     "encontrad denegad prohibid disponible eliminad caducad expirad suspendid bloquead superad excedid mantenimiento inválid fallad existe ocurrid inténtelo intente "
@@ -109,7 +109,7 @@ SWITCHES = (
 #: What else such messages say.
 AROUND = (
     "please sorry oops whoops try again later contact administrator webmaster support team home homepage back return continue click here sign login log check minute second hour code detail "
-    "message status looking requested request typed currently temporarily owner uploader user this that your with from have been because when while were was will "
+    "message status looking requested request typed currently temporarily owner user this that your with from have been because when while were was will "
     "which some our end there about until into than then what most recent call last line cause reason following before after now too many much "
     "bitte später erneut versuchen noch einmal leider zurück startseite melden anmelden angefordert gewünscht vorübergehend minuten sekunden diese dieser dieses wurde nicht ihre ihren wird sind "
     "veuillez plus tard désolé retour accueil demandé cette votre notre est une nous avez vous pour afficher depuis actuellement "
@@ -126,13 +126,13 @@ AROUND = (
 )
 #: Dummy text: words that say that a text is one, and words that go with them.
 DUMMY_WORDS = (
-    "placeholder dummy sample example filler temporary lorem ipsum temp testing blank supplied replace "
-    "platzhalter blindtext beispiel muster beispielzeile mustertext factice exemple remplissage provisoire ejemplo relleno prueba muestra ficticio "
+    "placeholder dummy sample example filler temporary lorem ipsum temp testing blank replace "
+    "platzhalter blindtext beispiel muster mustertext factice exemple remplissage provisoire ejemplo relleno prueba muestra ficticio "
     "exemplo preenchimento amostra fictício segnaposto esempio riempimento prova finto voorbeeld tijdelijke platshållare exempel "
     "przykład zastępcz próbn tymczasow örnek geçici deneme yer tutucu пример образец заполнитель тестов временн приклад تجريبي نموذج مثال ダミー サンプル 仮 例文 入力 示例 占位 测试 예시 샘플"
 )
 DUMMY_AROUND = (
-    "text line subtitle caption cue number title word sentence second first third only here fill space type insert write enter your goes release translate this will before another more row entry "
+    "text line subtitle caption cue number title word sentence second first third only here fill space type insert write enter your goes translate this will before another more row entry "
     "zeile text untertitel hier steht satz nummer ihr ihre texte ligne sous titre votre numéro phrase ici texto línea subtítulo escriba aquí número frase su linha legenda escreva aqui sua seu "
     "testo riga sottotitolo qui scrivi tuo frase regel ondertitel hier tekst napis linia wiersz tutaj metin satır altyazı buraya yazın строка текст субтитр здесь введите ваш рядок نص سطر ترجمة هنا 字幕 テキスト ここに 行 文字 文本 此处 자막 여기"
 )
