@@ -218,7 +218,16 @@ class ThompsonFactors(ProbabilisticFactors):
         super().__init__(*args, **kw)
         self.item_a = np.tile(self.reg_q * np.eye(self.k), (self.n_items, 1, 1))
         self.item_b = self.q * self.reg_q
-        self.sampled: dict[int, np.ndarray] = {}
+        # Each item's posterior mean and a root of its covariance; only that of a learnt item changes.
+        self.mean, self.root = np.empty((self.n_items, self.k)), np.empty((self.n_items, self.k, self.k))
+        self._posterior(np.arange(self.n_items))
+        self.sampled: tuple[np.ndarray, np.ndarray] = np.zeros(0, int), np.zeros((0, self.k))
+
+    def _posterior(self, items: np.ndarray) -> None:
+        inverse = np.linalg.inv(self.item_a[items])
+        values, vectors = np.linalg.eigh(inverse * self.stdev)
+        self.mean[items] = np.einsum("nkl,nl->nk", inverse, self.item_b[items])
+        self.root[items] = vectors * np.sqrt(np.maximum(values, 0))[:, None, :]
 
     def _draw(self, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
         values, vectors = np.linalg.eigh(cov)
@@ -226,19 +235,18 @@ class ThompsonFactors(ProbabilisticFactors):
 
     def scores(self, user: int, items: np.ndarray) -> np.ndarray:
         self.p = self._draw(*self.user(user))
-        inverse = np.linalg.inv(self.item_a[items])
-        means = np.einsum("nkl,nl->nk", inverse, self.item_b[items])
-        values, vectors = np.linalg.eigh(inverse * self.stdev)
-        noise = np.sqrt(np.maximum(values, 0)) * self.rng.standard_normal((len(items), self.k))
-        q = means + np.einsum("nkl,nl->nk", vectors, noise)
-        self.sampled = dict(zip(items.tolist(), q, strict=True))
+        noise = self.rng.standard_normal((len(items), self.k))
+        q = self.mean[items] + np.einsum("nkl,nl->nk", self.root[items], noise)
+        self.sampled = items, q
         return q @ self.p
 
     def learn(self, user: int, item: int, value: float) -> None:
-        q = self.sampled.get(item, self.q[item])
+        at = np.flatnonzero(self.sampled[0] == item)
+        q = self.sampled[1][at[0]] if len(at) else self.q[item]
         self.a[user] += np.outer(q, q)
         self.b[user] += value * q
         p = self.user(user)[0]
         self.item_a[item] += np.outer(p, p)
         self.item_b[item] += value * p
+        self._posterior(np.array([item]))
         self.log.append((user, item, value))

@@ -88,36 +88,49 @@ class Table:
         who, what = self.columns[column] if n else (np.zeros(0, np.int64), np.zeros(0))
         return who[:n], what[:n]
 
-    def beside(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rows that share a column, inner products, common columns, common positive columns) of a row."""
-        parts = [(who, own * what, (own > 0) * (what > 0)) for c, own in self.rows.get(row, {}).items() for who, what in (self.column(c),)]
-        if not parts:
-            none = np.zeros(0)
-            return np.zeros(0, np.int64), none, none, none
-        who, products, hits = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def _shared(self, row: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, float]]]:
+        """(rows of all its columns one after another, which rows share one, (rows, values, own value) of each column) of a row."""
+        parts = [(*self.column(c), own) for c, own in self.rows.get(row, {}).items()]
+        who = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         n = np.bincount(who)
-        n[row] = 0
+        if row < len(n):
+            n[row] = 0
+        return who, n, parts
+
+    def products(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows that share a column, inner products, common columns) of a row."""
+        who, n, parts = self._shared(row)
         others = np.flatnonzero(n)
-        return others, np.bincount(who, products)[others], n[others], np.bincount(who, hits)[others]
+        if not len(others):
+            return others, np.zeros(0), np.zeros(0)
+        dots = np.bincount(who, np.concatenate([own * what for _, what, own in parts]))
+        return others, dots[others], n[others]
+
+    def hits(self, row: int) -> np.ndarray:
+        """By row: the columns in which both are positive; 0 for the row itself."""
+        out = np.zeros(len(self.positives))
+        for who, what, own in self._shared(row)[2]:
+            if own > 0:
+                out[who] += what > 0
+        out[row] = 0
+        return out
 
 
 def cosine(data: Table, row: int, **_) -> tuple[np.ndarray, np.ndarray]:
-    others, dots, _, _ = data.beside(row)
+    others, dots, _ = data.products(row)
     norm = np.sqrt(np.maximum(data.square[row] * data.square[others], 0))
     return others, np.divide(dots, norm, out=np.zeros(len(dots)), where=norm > 0)
 
 
 def restricted_cosine(data: Table, row: int, **_) -> tuple[np.ndarray, np.ndarray]:
     """Inner product over the number of common columns; only what is positive."""
-    others, dots, common, _ = data.beside(row)
+    others, dots, common = data.products(row)
     keep = dots > 0
     return others[keep], dots[keep] / common[keep]
 
 
 def _beta_counts(data: Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found, _, _, common = data.beside(row)
-    hits = np.zeros(len(data.positives))
-    hits[found] = common
+    hits = data.hits(row)
     others = np.delete(np.arange(len(hits)), row)
     return others, hits[others], data.positives[others]
 
@@ -167,16 +180,19 @@ class UserKNN(Policy):
     def nearest(self, row: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         return _nearest(self.rng, *self.similar(self.data, row, rng=self.rng, alpha=self.alpha, beta=self.beta), k)
 
-    def votes(self, user: int, wanted: np.ndarray) -> None:
-        """Adds up the neighbours' votes in an array by item; NaN where nobody votes."""
+    def votes(self, user: int, items: np.ndarray, wanted: np.ndarray) -> None:
+        """Adds up the neighbours' votes for these items in an array by item; NaN where nobody votes."""
+        asked = items.tolist()
         for other, sim in zip(*(x.tolist() for x in self.nearest(user, self.k)), strict=True):
-            for item, value in self.data.rows.get(other, {}).items():
+            own = self.data.rows.get(other, {})
+            found = own.items() if len(own) < len(asked) else [(i, own[i]) for i in asked if i in own]
+            for item, value in found:
                 if value > 0 or not self.ignore_zeroes:
                     wanted[item] = sim * value if np.isnan(wanted[item]) else wanted[item] + sim * value
 
     def scores(self, user: int, items: np.ndarray) -> np.ndarray:
         out = np.full(self.n_items, np.nan)
-        self.votes(user, out)
+        self.votes(user, items, out)
         return np.nan_to_num(out[items], nan=-np.inf)
 
 
@@ -185,7 +201,7 @@ class ItemKNN(UserKNN):
 
     by_items = True
 
-    def votes(self, user: int, wanted: np.ndarray) -> None:
+    def votes(self, user: int, items: np.ndarray, wanted: np.ndarray) -> None:
         who, what = self.data.column(user)
         own = [(i, v) for i, v in zip(who.tolist(), what.tolist(), strict=True) if v > 0 or not self.ignore_zeroes]
         own.sort(key=lambda x: -x[1])
