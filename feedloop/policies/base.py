@@ -51,7 +51,7 @@ class Policy:
         s = self.scores(user, items)
         if self.value_function is not None:
             s = self.value_function(user, items, s, self.chosen[items])
-        return np.nan_to_num(s, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        return np.where(np.isnan(s), -np.inf, s)
 
     def pick(self, user: int, items: np.ndarray) -> int:
         """The recommended item; -1 without candidates."""

@@ -193,7 +193,7 @@ class UserKNN(Policy):
     def scores(self, user: int, items: np.ndarray) -> np.ndarray:
         out = np.full(self.n_items, np.nan)
         self.votes(user, items, out)
-        return np.nan_to_num(out[items], nan=-np.inf)
+        return out[items]  # where nobody votes, NaN counts as lowest
 
 
 class ItemKNN(UserKNN):
@@ -207,7 +207,8 @@ class ItemKNN(UserKNN):
         own.sort(key=lambda x: -x[1])
         for item, value in own[: self.k] if self.k else own:
             others, sims = self.nearest(item, self.item_k)
-            wanted[others] = np.nan_to_num(wanted[others]) + sims * value
+            so_far = wanted[others]
+            wanted[others] = np.where(np.isnan(so_far), 0.0, so_far) + sims * value
 
 
 class CollaborativeGreedy(Policy):
