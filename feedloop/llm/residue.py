@@ -168,7 +168,7 @@ def marks(text: str) -> Iterator[tuple[str, str, int, int]]:
             after = after.lstrip("_")
         folded = fold_name(name)
         if len(folded) > 2:
-            yield re.sub(r"\d+", "#", "".join((before + "…" + after).split())) + ("" if before.count(" ") == 0 or len(before.strip()) < 3 else " "), folded, m.start(), m.end()
+            yield re.sub(r"\d+", "#", f"{before.strip()}…{after.strip()}"), folded, m.start(), m.end()
 
 
 # --- Units ------------------------------------------------------------------------------------------------------------

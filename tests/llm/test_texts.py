@@ -157,7 +157,7 @@ PAGE = [
 
 #: As a corpus teaches it, see test_slots_are_induced and test_learnt_from_the_corpus.
 LEARNT = R.Learnt(
-    names=frozenset(["title"]), notations=frozenset(["@@…@@", "<<…>>", "{{…}} ", "{#:…}"]),
+    names=frozenset(["title"]), notations=frozenset(["@@…@@", "<<…>>", "{ {…} }", "{#:…}"]),
     pages=frozenset(["désolé, la page demandée est introuvable.", "włącz obsługę javascript, aby zobaczyć napisy.", "страница не найдена. ошибка #.",
                      "this file has been removed at the request of the uploader.", "ative o javascript para continuar.", "please enable javascript to view the subtitles."]),
     captions=frozenset(["votre sous-titre ici", "sample text for line #"]),
