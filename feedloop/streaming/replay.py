@@ -1,6 +1,6 @@
 """Replay of a live log with Structured Streaming, and click rates over event time.
 
-The reference has no event time; the windowed rates are an addition.
+The windowed rates are an addition: the studied system has no event time.
 """
 
 from __future__ import annotations
