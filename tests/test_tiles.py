@@ -32,3 +32,14 @@ def test_co_rating_density_sums_where_pairs_are_found(spark, small):
         assert r["edges"] == len(expected[r["least"]]) and r["mean_distance"] == pytest.approx(np.mean(expected[r["least"]]))
     assert {r["least"] for r in rows} == {k for k, v in expected.items() if v}
     assert graph.co_rating_density(liked, liked.limit(0)).count() == 0 and graph.co_rating_density(liked.limit(0), liked).count() == 0
+
+
+def test_co_rating_graph_in_tiles(spark, small):
+    liked = spark.createDataFrame([(u, i) for u, i, _ in ROWS], "u int, i int")
+    for places in (None, 6):
+        got = graph.co_rating_graph(liked, liked.where("u % 3 = 0"), places=places)
+        assert "Join" not in got._jdf.queryExecution().toString()
+        exact = {(r["a"], r["b"]): (r["common"], r["weight"], r["distance"]) for r in got.collect()}
+        apart = {(a, b): (n, 1 / (d + 1), d**0.5) for (a, b), (n, d) in _common(ROWS).items()}
+        assert exact == (apart if places is None else {k: (n, round(w, 6), round(d, 6)) for k, (n, w, d) in apart.items()})
+    assert tiles._rounded(np.array([1 / 128, 1 / 640]), 6).tolist() == [0.007813, 0.001563]
