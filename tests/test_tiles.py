@@ -43,3 +43,15 @@ def test_co_rating_graph_in_tiles(spark, small):
         apart = {(a, b): (n, 1 / (d + 1), d**0.5) for (a, b), (n, d) in _common(ROWS).items()}
         assert exact == (apart if places is None else {k: (n, round(w, 6), round(d, 6)) for k, (n, w, d) in apart.items()})
     assert tiles._rounded(np.array([1 / 128, 1 / 640]), 6).tolist() == [0.007813, 0.001563]
+
+
+@pytest.mark.parametrize("kind", ["cosine", "restricted", "beta"])
+def test_nearest_in_tiles(spark, small, kind):
+    state = spark.createDataFrame(ROWS, "k int, i int, r double")
+    queries = state.where("k % 3 = 0")
+    plain = {"cosine": K.cosine, "restricted": K.restricted_cosine, "beta": lambda q, s: K.beta_exact(q, s, 1.0, 2.0)}[kind](queries, state)
+    got = K.nearest_to(queries, state, kind, 4)
+    assert got.schema["a"].dataType == state.schema["k"].dataType and "Join" not in got._jdf.queryExecution().toString()
+    same = lambda df: sorted((r["a"], r["b"], round(r["sim"], 9), r["place"]) for r in df.collect())
+    assert (rows := same(got)) == same(K.nearest(plain, 4)) and len(rows) > 70
+    assert K.nearest_to(queries.limit(0), state, kind, 4).count() == 0
