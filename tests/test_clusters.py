@@ -48,7 +48,7 @@ def test_share_of_drawn_edges():
     assert abs(np.mean([len(start_graph(40, "erdos", np.random.default_rng(s)).others) for s in range(200)]) / (40 * 39) - 3 * np.log(40) / 40) < 0.01
 
 
-@pytest.mark.parametrize("name", ["club", "cofiba"])
+@pytest.mark.parametrize("name", ["club", "club-erdos", "cofiba"])
 def test_a_hundred_thousand_users(name):
     """Users x users would be ten billion cells."""
     policy = Spec(name, name, {}).build(100_000, 5, 3)
