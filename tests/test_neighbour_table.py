@@ -8,9 +8,10 @@ RNG = np.random.default_rng(5)
 FACTS = [(int(u), int(i), float(v)) for u, i, v in zip(RNG.integers(0, 40, 300), RNG.integers(0, 12, 300), RNG.random(300) * (RNG.random(300) < 0.7), strict=True)]
 
 
+@pytest.mark.parametrize("n", [40, 100_000])
 @pytest.mark.parametrize("variant", ["basic", "best", "last", "additive"])
-def test_products_meet_only_rows_that_share_a_column(variant):
-    table = Table(variant, 40)
+def test_products_meet_only_rows_that_share_a_column(variant, n):
+    table = Table(variant, n)
     for u, i, v in FACTS:
         table.put(u, i, v)
     for row in range(40):
