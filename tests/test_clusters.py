@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -55,3 +57,16 @@ def test_a_hundred_thousand_users(name):
     for k in range(12):
         item = policy.pick(k, np.arange(5))
         policy.update(k, item, float(k % 2))
+
+
+@pytest.mark.parametrize("name", ["club"])
+def test_memory_of_ninety_thousand_users(name):
+    """The users of sf0.1's events 60 times: flags of users x users would be 8,100 MB."""
+    tracemalloc.start()
+    try:
+        policy = Spec(name, name, {}).build(90_000, 5, 3)
+        for k in range(40):
+            policy.update(k, policy.pick(k, np.arange(5)), float(k % 2))
+        assert tracemalloc.get_traced_memory()[1] < 400e6
+    finally:
+        tracemalloc.stop()
