@@ -59,7 +59,7 @@ def test_a_hundred_thousand_users(name):
         policy.update(k, item, float(k % 2))
 
 
-@pytest.mark.parametrize("name", ["club"])
+@pytest.mark.parametrize("name", ["club", "club-erdos"])
 def test_memory_of_ninety_thousand_users(name):
     """The users of sf0.1's events 60 times: flags of users x users would be 8,100 MB."""
     tracemalloc.start()
