@@ -3,7 +3,9 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from feedloop.policies.clusters import start_graph
+from feedloop.plans import loops
+from feedloop.policies.clusters import COFIBA, start_graph
+from feedloop.policies.loop import RandomUsers
 from feedloop.policies.registry import Spec
 
 
@@ -70,3 +72,47 @@ def test_memory_of_ninety_thousand_users(name):
         assert tracemalloc.get_traced_memory()[1] < 400e6
     finally:
         tracemalloc.stop()
+
+
+def test_cofiba_goes_on_until_no_user_has_an_item_left(spark, tmp_path):
+    """600 pairs of users and event types, each once in each run, with its value; some have no events, some no value."""
+    values = {(u, f"type{k}"): None if (u + k) % 13 == 0 else float((u * 7 + k) % 3 > 0) for u in range(100, 220) for k in range(5) if (u * k) % 11 != 10}
+    rows = [(u, i, y) for (u, i), r in values.items() for y in ((None,) if r is None else (3.0, 100.0 + r))]
+    spark.createDataFrame([*rows, (None, "type0", 1.0), (5, None, 1.0), (7, "type0", float("nan"))], "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = loops.QUERIES["sim_cofiba"](spark, str(tmp_path)).collect()
+    assert len(values) < 600 and len(got) == 1200
+    for seed in loops.SEEDS:
+        mine = [r for r in got if r["seed"] == seed]
+        assert sorted((r["u"], r["i"]) for r in mine) == [(u, f"type{k}") for u in range(100, 220) for k in range(5)]
+        assert sorted(r["iter"] for r in mine) == list(range(1, 601))
+        assert all(r["value"] == values.get((r["u"], r["i"])) for r in mine)
+
+
+@pytest.mark.parametrize("graph", ["erdos", "complete"])
+def test_sums_kept_by_cofiba_equal_sums_made_anew(graph):
+    splits = 0
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        policy = COFIBA(40, 8, np.random.default_rng(seed), alpha2=0.1, user_graph=graph, item_graph="complete")
+        for _ in range(120):
+            user, items = int(rng.integers(40)), np.sort(rng.choice(8, int(rng.integers(1, 9)), replace=False))
+            for item, score in zip(items.tolist(), policy.scores(user, items).tolist(), strict=True):
+                labels = policy.user_cluster[int(policy.item_cluster[item])]
+                group = labels == labels[user]
+                m = policy.m[group, item].sum() + 1
+                assert score == pytest.approx(policy.b[group, item].sum() / m + np.sqrt(np.log(policy.t + 1) / m), abs=1e-6)
+            policy.update(user, policy.pick(user, items), float(rng.integers(-8, 8)) / 4)
+        splits += policy.clusters - 1 + sum(len(set(x.tolist())) - 1 for x in policy.user_cluster.values())
+    assert splits > 50
+
+
+def test_users_dropped_in_any_order():
+    rng = np.random.default_rng(5)
+    chooser, left = RandomUsers(np.arange(0, 90, 3), rng), list(range(0, 90, 3))
+    for user in rng.permutation(left).tolist():
+        chooser.drop(user)
+        left.remove(user)
+        assert chooser.left == left
+    mixed = RandomUsers(np.array([5, 1, 9, 3]), rng)
+    mixed.drop(1)
+    assert mixed.left == [5, 9, 3]
